@@ -7,9 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import id_bucket, table
+from graphloom.llm.packing import pack
 from graphloom.llm.sharding import shard_by_bytes
 from graphloom.llm.simhash import near_duplicates
+from graphloom.llm.toxicity import score_toxicity, train_toxicity
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    """Fitted to the labelled rows that are not held out."""
+    learn = F.col("doc_id").isNotNull() & (id_bucket("doc_id", 4) != 2)
+    return train_toxicity(table(spark, sf_dir, "documents").where(learn), table(spark, sf_dir, "labels").where(learn))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
+    scored = score_toxicity(docs, toxicity_model(spark, sf_dir), keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +36,16 @@ def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), length=1024, with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op6_simhash": op6_simhash,
         "op7_histogram_shards": op7_histogram_shards,
+        "op9_mixture_packing": op9_mixture_packing,
     }
 
 
