@@ -11,6 +11,7 @@ from graphloom.llm.common import id_bucket, table
 from graphloom.llm.packing import pack
 from graphloom.llm.sharding import shard_by_bytes
 from graphloom.llm.simhash import near_duplicates
+from graphloom.llm.suffix_dedup import remove_repeats
 from graphloom.llm.toxicity import score_toxicity, train_toxicity
 
 
@@ -26,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=100, with_kept=False)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=64, radius=3)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -43,6 +48,7 @@ def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op6_simhash": op6_simhash,
         "op7_histogram_shards": op7_histogram_shards,
         "op9_mixture_packing": op9_mixture_packing,
