@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import id_bucket, table
+from graphloom.llm.lm_score import score_texts
 from graphloom.llm.packing import pack
 from graphloom.llm.sharding import shard_by_bytes
 from graphloom.llm.simhash import near_duplicates
@@ -45,6 +46,11 @@ def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), length=1024, with_ids=False)
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = id_bucket("doc_id", 10)
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text", (fold != 0).alias("learn"), (fold == 0).alias("held_out")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -52,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op7_histogram_shards": op7_histogram_shards,
         "op9_mixture_packing": op9_mixture_packing,
+        "op10_lm_scores": op10_lm_scores,
     }
 
 
