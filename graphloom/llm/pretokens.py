@@ -51,14 +51,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range [start, end) of values: equal ranges have equal hashes."""
-    up, down = _powers(len(values))
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """What range_hashes_at needs to hash any range of values."""
+    up, _ = _powers(len(values))
+    with np.errstate(over="ignore"):
+        return np.concatenate([[np.uint64(0)], np.cumsum(_mix(values.astype(np.uint64) + _ODD) * up[: len(values)])])
+
+
+def range_hashes_at(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    _, down = _powers(len(total) - 1)
     with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(values.astype(np.uint64) + _ODD) * up[: len(values)])])
         return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range [start, end) of values: equal ranges have equal hashes."""
+    return range_hashes_at(prefix_sums(values), starts, ends)
+
+
 def split_points(cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Starts of the pre-tokens of texts that lie one after the other in cp; bounds: where each text starts, and the end. Contractions are not looked for."""
     kind = _classes()[cp]

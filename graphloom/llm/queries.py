@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import id_bucket, table
+from graphloom.llm.decontaminate import contaminated
+from graphloom.llm.line_dedup import drop_recurring_lines
 from graphloom.llm.lm_score import score_texts
 from graphloom.llm.packing import pack
 from graphloom.llm.sharding import shard_by_bytes
 from graphloom.llm.simhash import near_duplicates
 from graphloom.llm.suffix_dedup import remove_repeats
+from graphloom.llm.token_counts import token_counts
 from graphloom.llm.toxicity import score_toxicity, train_toxicity
 
 
@@ -32,6 +35,14 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=100, with_kept=False)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=64, radius=3)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -42,6 +53,11 @@ def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), length=1024, with_ids=False)
 
@@ -55,8 +71,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_decontaminate": op3_decontaminate,
+        "op4_token_counts": op4_token_counts,
         "op6_simhash": op6_simhash,
         "op7_histogram_shards": op7_histogram_shards,
+        "op8_line_dedup": op8_line_dedup,
         "op9_mixture_packing": op9_mixture_packing,
         "op10_lm_scores": op10_lm_scores,
     }
