@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import id_bucket, table
 from graphloom.llm.decontaminate import contaminated
+from graphloom.llm.embed_dedup import similar_vectors
 from graphloom.llm.line_dedup import drop_recurring_lines
 from graphloom.llm.lm_score import score_texts
 from graphloom.llm.packing import pack
@@ -43,6 +44,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=64, radius=3)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_decontaminate": op3_decontaminate,
         "op4_token_counts": op4_token_counts,
+        "op5_embedding_dedup": op5_embedding_dedup,
         "op6_simhash": op6_simhash,
         "op7_histogram_shards": op7_histogram_shards,
         "op8_line_dedup": op8_line_dedup,
