@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,11 @@ def id_bucket(name: str, n: int):
     return F.crc32(F.col(name).cast("string").cast("binary")) % n
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once: the optimiser would repeat it wherever a name for it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column without nulls, and the offsets of its values (one more than values)."""
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import text_or_empty
+from graphloom.llm.common import let, text_or_empty
 
 #: Parts that a line's tokens after the leading ones are dealt into; a template fixes one part and leaves the others variable.
 PARTS = 3
@@ -17,12 +17,13 @@ def _lines(text: Column) -> Column:
 
 def _keys(line: Column, depth: int, long: int) -> Column:
     """The templates of a line: the path of the tree (token count, then `depth` leading tokens) and the tokens that are fixed below it. Digit runs are variable everywhere. Short lines have one template, all tokens fixed; longer ones one for each part of their other tokens, so that variable fields in one part leave the templates of the other parts."""
-    masked = F.regexp_replace(F.trim(line), "[0-9]+", "#")
-    tokens = F.split(masked, "[ \\t]+")
-    path = [F.size(tokens), F.slice(tokens, 1, depth)]
-    part = lambda r: F.filter(tokens, lambda t, i: (i >= depth) & (i % PARTS == r))
-    whole = F.array(F.xxhash64(F.lit(-1), masked))
-    return F.when(F.size(tokens) < long, whole).otherwise(F.array(*[F.xxhash64(F.lit(r), *path, part(r)) for r in range(PARTS)]))
+
+    def keys(tokens: Column) -> Column:
+        part = lambda r: F.filter(tokens, lambda t, i: (i >= depth) & (i % PARTS == r))
+        path = [F.size(tokens), F.slice(tokens, 1, depth)]
+        return F.when(F.size(tokens) < long, F.array(F.xxhash64(F.lit(-1), tokens))).otherwise(F.array(*[F.xxhash64(F.lit(r), *path, part(r)) for r in range(PARTS)]))
+
+    return let(F.split(F.regexp_replace(F.trim(line), "[0-9]+", "#"), "[ \\t]+"), keys)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, depth: int, long: int) -> DataFrame:
