@@ -3,10 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialise, table
+from graphloom.llm.decontaminate import contaminated
+from graphloom.llm.line_dedup import drop_recurring_lines
+from graphloom.llm.packing import pack
+from graphloom.llm.queries import toxicity_model
+from graphloom.llm.simhash import near_duplicates
+from graphloom.llm.toxicity import score_toxicity
 
-STAGES: list = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (score of 0.3 or more) go."""
+    return score_toxicity(docs, toxicity_model(spark, sf_dir), keep=docs.columns).where("score < 0.3").drop("score")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines whose template recurs go, but in the first text; every document stays."""
+    return drop_recurring_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest id stays. Fingerprints of 128 bits over five-word shingles; texts of similarity 0.8 differ in 19 of them, as the angle between their shingle sets says."""
+    found = near_duplicates(docs, shingle=5, bits=128, radius=19, shared=3, width=2)
+    return docs.join(found.where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1,024 tokens."""
+    return pack(docs, length=1024, with_ids=False)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
 
 #: SQL cannot express these stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
@@ -14,6 +49,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
