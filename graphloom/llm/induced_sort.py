@@ -1,6 +1,6 @@
 """Suffix and common-prefix arrays of one shard by induced sorting, with tuples in disk-backed monotone priority queues.
 
-A shard's text is many strings; each ends in a separator that is smaller than any character and differs from every other separator. Suffixes are induced from the sorted LMS suffixes, which are sorted by naming LMS substrings (themselves induced) and recursion on the names. Common prefixes, capped, are carried with the tuples as they are induced.
+A shard's text is many strings; each ends in a separator that is smaller than any character and differs from every other separator. Suffixes are induced from the sorted LMS suffixes, which are sorted by naming LMS substrings (themselves induced) and recursion on the names. Common prefixes, capped, are carried with the tuples as they are induced. A text has fewer than 2^31 characters; on disk a tuple is three 32-bit numbers.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ class TupleQueue:
             for s in np.flatnonzero(self.count).tolist():
                 with open(f"{self.path}.{s}", "ab") as f:
                     for x in self.held[s]:
-                        f.write(np.ascontiguousarray(x).tobytes())
+                        f.write(x.astype(np.int32).tobytes())
                 self.held[s], self.count[s], self.spilled[s] = [], 0, True
             self.total = 0
 
@@ -63,8 +63,8 @@ class TupleQueue:
             self.spilled[s] = False
             held, self.held[s], self.count[s] = self.held[s], [], 0
             with open(path, "rb") as f:
-                while data := f.read(24 * BLOCK):
-                    yield np.frombuffer(data, np.int64).reshape(-1, 3)
+                while data := f.read(12 * BLOCK):
+                    yield np.frombuffer(data, np.int32).reshape(-1, 3).astype(np.int64)
             os.remove(path)
         else:
             held, self.held[s], self.count[s] = self.held[s], [], 0
@@ -133,15 +133,15 @@ def _slots(text: np.ndarray, sign: int) -> np.ndarray:
     return np.flatnonzero(start) if sign > 0 else np.flatnonzero(start) - (top - 1)
 
 
-def _scan(text: np.ndarray, is_s: np.ndarray, first: Iterator[np.ndarray], sign: int, folder: str, name: str, emit: Callable[[np.ndarray], None], step: Callable[[np.ndarray], np.ndarray], seam: int | None) -> None:
-    """One induction scan. first: sorted seed tuples (key, position, prefix), keys ascending in `sign` order. sign 1: seeds are LMS suffixes, L suffixes are induced in ascending order; sign -1: seeds are L suffixes, S suffixes are induced in descending order. emit gets the induced and the seed tuples of each batch in order (a fourth column tells 1 for induced). seam: common prefixes between the two kinds are read off the text up to this length; None: they count as 0."""
+def _scan(text: np.ndarray, is_s: np.ndarray, first: Iterator[np.ndarray], sign: int, folder: str, name: str, emit: Callable[[np.ndarray], None], mode: str, seam: int = 0) -> None:
+    """One induction scan. first: sorted seed tuples (key, position, prefix), keys ascending in `sign` order. sign 1: seeds are LMS suffixes, L suffixes are induced in ascending order; sign -1: seeds are L suffixes, S suffixes are induced in descending order. emit gets the induced and the seed tuples of each batch in order (a fourth column tells 1 for induced). mode: what the third column carries: "prefix", the common prefix with the tuple before (between the two kinds it is read off the text, up to `seam`); "class", a number that is equal for tuples induced alike; "order", nothing."""
     bounds = _slots(text, sign)
     queue, seeds = TupleQueue(folder, f"{name}.q", bounds), TupleQueue(folder, f"{name}.s", bounds)
     for rows in first:
         seeds.push(rows)
     between = _Between()
 
-    state = {"at": 0, "kind": 0}
+    state = {"at": 0, "kind": 0, "class": 0, "last": (None, None, None)}
 
     def process(rows: np.ndarray, mixed: bool) -> int:
         """Emit rows and push what they induce; mixed: of several keys, stop before the first row that must come after something pushed here. Returns how many rows were done."""
@@ -162,17 +162,29 @@ def _scan(text: np.ndarray, is_s: np.ndarray, first: Iterator[np.ndarray], sign:
             cut = np.searchsorted(at, n)
             at, key = at[:cut], key[:cut]
         rows = rows[:n]
-        if seam is not None and n:  # between the induced and the seeds of one character nothing was carried: compare the two
+        if not n:
+            return 0
+        if mode == "prefix":  # between the induced and the seeds of one character nothing was carried: compare the two
             before = np.concatenate([[state["at"]], rows[:-1, 1]])
             kinds = np.concatenate([[state["kind"]], rows[:-1, 3]])
             here = np.flatnonzero((kinds == 1) & (rows[:, 3] == 0))
             if len(here):
                 rows[here, 2] = _prefixes(text, before[here], rows[here, 1], seam)
             state["at"], state["kind"] = int(rows[-1, 1]), int(rows[-1, 3])
-        low_v = between.block(rows[:, 2], at, key)
+            carried = np.minimum(between.block(rows[:, 2], at, key) + 1, CAP)
+        elif mode == "class":
+            new = np.empty(n, bool)
+            new[0] = state["last"] != (rows[0, 0], rows[0, 2], rows[0, 3])
+            new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2] != rows[:-1, 2]) | (rows[1:, 3] != rows[:-1, 3])
+            state["last"] = (rows[-1, 0], rows[-1, 2], rows[-1, 3])
+            rows[:, 2] = state["class"] + np.cumsum(new)
+            state["class"] = int(rows[-1, 2])
+            carried = rows[at, 2]
+        else:
+            carried = np.zeros(len(at), np.int64)
         emit(rows)
         if len(at):
-            queue.push(np.stack([key, prev[at], step(low_v)], 1))
+            queue.push(np.column_stack([key, prev[at], carried]))
         return n
 
     widths = np.append(bounds[1:], bounds[-1] + (1 << 40)) - bounds if len(bounds) else bounds
@@ -231,11 +243,10 @@ def _chunks(*columns: np.ndarray) -> Iterator[np.ndarray]:
         yield np.stack([np.asarray(c[k : k + BLOCK]).astype(np.int64) for c in columns], 1)
 
 
-def _both_scans(text: np.ndarray, is_s: np.ndarray, seeds: Iterator[np.ndarray], folder: str, name: str, on_suffix: Callable[[np.ndarray], None], naming: bool, seam: int | None = None) -> None:
+def _both_scans(text: np.ndarray, is_s: np.ndarray, seeds: Iterator[np.ndarray], folder: str, name: str, on_suffix: Callable[[np.ndarray], None], mode: str, seam: int = 0) -> None:
     """L scan, then S scan; on_suffix(rows) gets all suffixes in descending order: position, prefix with the suffix before (in descending order)."""
     spool = os.path.join(folder, f"{name}.l")
     count = 0
-    step = (lambda v: np.where(v >= CAP, CAP, 0)) if naming else (lambda v: np.minimum(v + 1, CAP))
 
     with open(spool, "wb") as f:
 
@@ -243,15 +254,19 @@ def _both_scans(text: np.ndarray, is_s: np.ndarray, seeds: Iterator[np.ndarray],
             nonlocal count
             r = rows[(rows[:, 3] == 1) | (text[rows[:, 1]] == 0)]
             count += len(r)
-            f.write(np.ascontiguousarray(r[:, :3]).tobytes())
+            f.write(r[:, :3].astype(np.int32).tobytes())
 
-        _scan(text, is_s, seeds, 1, folder, f"{name}1", emit_l, step, seam)
-    rows = np.memmap(spool, np.int64, "r", shape=(count, 3)) if count else np.zeros((0, 3), np.int64)
+        _scan(text, is_s, seeds, 1, folder, f"{name}1", emit_l, mode, seam)
+    rows = np.memmap(spool, np.int32, "r", shape=(count, 3)) if count else np.zeros((0, 3), np.int32)
 
     def descending() -> Iterator[np.ndarray]:
         for hi in range(count, 0, -BLOCK):
             lo = max(0, hi - BLOCK)
-            x = np.array(rows[lo:hi][::-1])
+            x = rows[lo:hi][::-1].astype(np.int64)
+            if mode != "prefix":
+                x[:, 0] = -x[:, 0]
+                yield x
+                continue
             # the prefix with the neighbour above: that neighbour's own, if it has the same key
             up = np.array(rows[lo + 1 : min(count, hi + 1)])
             y = np.zeros(hi - lo, np.int64)
@@ -260,7 +275,7 @@ def _both_scans(text: np.ndarray, is_s: np.ndarray, seeds: Iterator[np.ndarray],
             x[:, 0] = -x[:, 0]
             yield x
 
-    _scan(text, is_s, descending(), -1, folder, f"{name}2", on_suffix, step, seam)
+    _scan(text, is_s, descending(), -1, folder, f"{name}2", on_suffix, mode, seam)
     del rows
     os.remove(spool)
 
@@ -274,39 +289,23 @@ def sort_suffixes(text: np.ndarray, folder: str, depth: int = 0) -> np.ndarray:
     own = np.flatnonzero(text[lms] > 0)
     if not len(own):
         return lms
-    # Name LMS substrings: induce them from LMS positions sorted by first character alone; equal ones stay marked as equal.
+    # Name LMS substrings: induce them from LMS positions sorted by first character alone; those induced alike are equal.
     by = lms[np.argsort(text[lms], kind="stable")]
     key = text[by].astype(np.int64)
-    same = np.where((np.concatenate([[-1], key[:-1]]) == key) & (key > 0), CAP, 0)
-    names = np.full(len(text), -1, np.int64) if depth else _file(folder, f"{name}.names", np.int64, len(text))
-    names[:] = -1
+    names = np.full(len(text), -1, np.int64) if depth else _file(folder, f"{name}.names", np.int32, len(text))
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
-    state = {"rank": 0, "low": CAP}
 
     def on(rows: np.ndarray) -> None:
-        mine = np.flatnonzero(is_lms[rows[:, 1]] & ((rows[:, 3] == 1) | (text[rows[:, 1]] == 0)))
-        if not len(mine):
-            if len(rows):
-                state["low"] = min(state["low"], int(rows[:, 2].min()))
-            return
-        v = rows[:, 2]
-        before = np.concatenate([[-1], mine[:-1]])
-        low = _least(v, before + 1, mine)
-        low[0] = min(low[0], state["low"])
-        r = state["rank"] + np.cumsum(low < CAP)
-        names[rows[mine, 1]] = r
-        state["rank"] = int(r[-1])
-        tail = v[mine[-1] + 1 :]
-        state["low"] = int(tail.min()) if len(tail) else CAP
-
-    _both_scans(text, is_s, _chunks(key, by, same), folder, name, on, True)
-    found = names[lms]
-    top = state["rank"]
-    # Descending ranks become ascending names from 1; separators stay 0, each different by its place.
-    reduced = np.where(text[lms] == 0, 0, top - found + 1)
+        mine = is_lms[rows[:, 1]]
+        names[rows[mine, 1]] = rows[mine, 2]
+
+    _both_scans(text, is_s, _chunks(key, by, np.where(key > 0, 0, by + 1)), folder, name, on, "class")
+    found = names[lms].astype(np.int64)
     del names
-    if top - int((text[lms] == 0).sum()) >= len(own) and len(np.unique(reduced[own])) == len(own):
+    # Descending numbers become ascending names; separators stay 0, each different by its place.
+    reduced = np.where(text[lms] == 0, 0, found.max() - found + 1)
+    if len(np.unique(reduced[own])) == len(own):
         order = np.lexsort((lms, reduced))
         return lms[order]
     used = np.unique(reduced)
@@ -328,7 +327,7 @@ def _sort_all(text: np.ndarray, folder: str, depth: int) -> np.ndarray:
         at -= len(rows)
 
     key = text[seeds].astype(np.int64)
-    _both_scans(text, is_s, _chunks(key, seeds, np.zeros(len(seeds), np.int64)), folder, f"e{depth}", on, False)
+    _both_scans(text, is_s, _chunks(key, seeds, np.zeros(len(seeds), np.int64)), folder, f"e{depth}", on, "order")
     return out
 
 
@@ -370,7 +369,7 @@ def suffixes_descending(text: np.ndarray, on: Callable[[np.ndarray, np.ndarray],
             kept = text[pos] > 0
             on(pos[kept], v[kept])
 
-        _both_scans(text, is_s, first(), folder, "f", suffix, False, most)
+        _both_scans(text, is_s, first(), folder, "f", suffix, "prefix", most)
     finally:
         if own:
             shutil.rmtree(folder, ignore_errors=True)

@@ -15,18 +15,20 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import arrow_rows, fan_out, materialise, text_or_empty, utf8
 from graphloom.llm.induced_sort import suffixes_descending
-from graphloom.llm.pretokens import range_hashes
+from graphloom.llm.pretokens import prefix_sums, range_hashes, range_hashes_at
 
 #: A window's anchor is its least-hashed run of so many bytes.
 GRAM = 24
 #: Bytes that are handled at once; a longer text is cut into overlapping parts.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
+#: Bytes of segments that a shard is dealt: their sort takes some thirty times as much of its executor's disk.
+SHARD = 1 << 20
 #: An id for rows that have none: they come last.
 NO_ID = (1 << 63) - 1
 
-_SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i4")])
+_SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i4"), ("at", "u1")])
 _SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
-_ASK = np.dtype([("anchor", "<u8"), ("start", "<i8"), ("size", "<i4")])
+_ASK = np.dtype([("anchor", "<u8"), ("start", "<i8"), ("size", "<i4"), ("at", "u1")])
 
 
 def _segments(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, base: np.ndarray, length: int) -> np.ndarray:
@@ -55,6 +57,28 @@ def _segments(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, base: np.nd
     out = np.empty(len(first), _SEGMENT)
     out["anchor"], out["content"] = h[anchor[first]], range_hashes(data.astype(np.uint16) + 1000, first, last)
     out["doc"], out["start"], out["size"] = doc[text[first]], base[text[first]] + first - bounds[text[first]], last - first
+    out["at"] = anchor[first] - first
+    return out
+
+
+def _packed(rows: np.ndarray) -> bytes:
+    """Column by column in the order of the texts, which Spark's codec shortens much better than row by row."""
+    rows = rows[np.lexsort((rows["start"], rows["doc"]))]
+    start = np.diff(rows["start"], prepend=0)
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in (rows["anchor"], rows["content"], np.diff(rows["doc"], prepend=0), start, rows["size"], rows["at"]))
+
+
+def _unpacked(bodies: list[bytes]) -> np.ndarray:
+    sizes = [len(b) // _SEGMENT.itemsize for b in bodies]
+    out = np.empty(sum(sizes), _SEGMENT)
+    at = 0
+    for body, n in zip(bodies, sizes, strict=True):
+        part, k = out[at : at + n], 0
+        for name in _SEGMENT.names:
+            column = np.frombuffer(body, _SEGMENT[name], n, k)
+            part[name] = np.cumsum(column) if name in ("doc", "start") else column
+            k += column.nbytes
+        at += n
     return out
 
 
@@ -112,7 +136,7 @@ def _cut(length: int, shards: int):
                 at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
                 shard += to[at].tolist()
                 kind += [k] * len(at)
-                body += [x.tobytes() for x in np.split(part, at[1:])] if len(at) else []
+                body += [_packed(x) if k == 0 else x.tobytes() for x in np.split(part, at[1:])] if len(at) else []
             return arrow_rows(schema, shard=shard, kind=kind, body=body)
 
         held: list = []
@@ -138,7 +162,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for kind, body in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             got[kind].append(body)
-    rows = np.frombuffer(b"".join(got[0]), _SEGMENT)
+    rows = _unpacked(got[0])
     spans = np.frombuffer(b"".join(got[1]), _SPAN)
     got.clear()
     if len(rows):
@@ -152,7 +176,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows[np.repeat(several, several) > 1]
         rows = rows[np.argsort(rows["doc"], kind="stable")]
         ask = np.empty(len(rows), _ASK)
-        ask["anchor"], ask["start"], ask["size"] = rows["anchor"], rows["start"], rows["size"]
+        for name in _ASK.names:
+            ask[name] = rows[name]
         yield _by_doc(ask, rows["doc"], 2)
     spans = _merged(spans)
     yield _by_doc(spans, spans["doc"], 1)
@@ -160,16 +185,52 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fetch(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int32()), ("doc", pa.int64()), ("start", pa.int64()), ("segment", pa.binary())])
+        schema = pa.schema([("shard", pa.int32()), ("anchor", pa.int64()), ("at", pa.int32()), ("doc", pa.int64()), ("start", pa.int64()), ("segment", pa.binary())])
         for b in batches:
             for doc, text, bodies in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 ask = np.frombuffer(b"".join(bodies), _ASK)
                 start = ask["start"].tolist()
-                yield arrow_rows(schema, shard=(ask["anchor"] % np.uint64(shards)).astype(np.int32), doc=[doc] * len(ask), start=start, segment=[text[i : i + n] for i, n in zip(start, ask["size"].tolist(), strict=True)])
+                yield arrow_rows(schema, shard=(ask["anchor"] % np.uint64(shards)).astype(np.int32), anchor=ask["anchor"].astype(np.int64), at=ask["at"].astype(np.int32), doc=[doc] * len(ask), start=start, segment=[text[i : i + n] for i, n in zip(start, ask["size"].tolist(), strict=True)])
 
     return run
 
 
+def _sharing(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor without those that cannot share `length` bytes around it with another one.
+
+    Such a string reaches some way to both sides of the anchor. Of the quarters of the length besides the anchor, at least three lie whole in it: so two rows that share it agree on the anchor with three quarters to its left, or two and one, or one and two, or three to its right.
+    """
+    unit = (length - GRAM) // 4
+
+    def kept(rows: pa.RecordBatch) -> pa.RecordBatch:
+        data, at = utf8(rows.column(5))
+        anchor, place = np.asarray(rows.column(1)), at[:-1] + np.asarray(rows.column(2))
+        several = np.zeros(len(anchor), bool)
+        sums = prefix_sums(data)
+        for left in range(4):
+            a, z = place - unit * left, place + GRAM + unit * (3 - left)
+            whole = np.flatnonzero((a >= at[:-1]) & (z <= at[1:]))
+            key = range_hashes_at(sums, a[whole], z[whole]) ^ anchor[whole].view(np.uint64)
+            _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+            several[whole[n[back] > 1]] = True
+        return rows.filter(pa.array(several))
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        anchors = np.asarray(b.column(1))
+        cut = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on in the next batch
+        if held and (cut or held[-1].column(1)[-1].as_py() != anchors[0]):
+            yield kept(pa.concat_batches([*held, b.slice(0, cut)]))
+            held = []
+        elif cut:
+            yield kept(b.slice(0, cut))
+        held.append(b.slice(cut))
+    if held:
+        yield kept(pa.concat_batches(held))
+
+
 def _repeats(length: int):
     """A shard's suffix array: of the windows that begin alike for `length` bytes, all but the earliest are spans to remove."""
 
@@ -178,10 +239,10 @@ def _repeats(length: int):
         try:
             docs, starts, sizes = [], [], []
             with open(os.path.join(folder, "text"), "wb") as f:
-                for b in batches:
-                    data, at = utf8(b.column(3))
-                    docs.append(np.asarray(b.column(1)))
-                    starts.append(np.asarray(b.column(2)))
+                for b in _sharing(batches, length):
+                    data, at = utf8(b.column(5))
+                    docs.append(np.asarray(b.column(3)))
+                    starts.append(np.asarray(b.column(4)))
                     sizes.append(np.diff(at))
                     out = np.zeros(len(data) + b.num_rows, np.uint16)
                     out[np.arange(len(data)) + np.repeat(np.arange(b.num_rows), sizes[-1])] = data.astype(np.uint16) + 1
@@ -252,6 +313,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     met = materialise(cut.repartition(n, "shard").mapInArrow(_meet, "id long, kind int, body binary"))
     asked = met.where("kind = 2").groupBy("id").agg(F.collect_list("body").alias("bodies"))
     texts = base.join(asked, "id")
-    found = texts.select("id", "t", "bodies").mapInArrow(_fetch(n), "shard int, doc long, start long, segment binary").repartition(n, "shard").mapInArrow(_repeats(length), "id long, kind int, body binary")
+    asked_bytes = met.where("kind = 2").agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    shards = max(n, asked_bytes * (length + GRAM) // _ASK.itemsize // SHARD)
+    found = texts.select("id", "t", "bodies").mapInArrow(_fetch(shards), "shard int, anchor long, at int, doc long, start long, segment binary").repartition(shards, "shard").sortWithinPartitions("anchor").mapInArrow(_repeats(length), "id long, kind int, body binary")
     gone = met.where("kind = 1").unionByName(found).groupBy("id").agg(F.collect_list("body").alias("bodies"))
     return base.join(gone, "id", "left").select("own", "t", "bodies").mapInArrow(_apply(with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").drop(*([] if with_kept else ["kept"]))
