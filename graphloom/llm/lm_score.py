@@ -19,7 +19,7 @@ CLASSES = HEAD + 1 + AFFIXES
 #: Classes before the predicted one, and the width of the vectors.
 CONTEXT, WIDTH = 3, 32
 #: Bytes of text that are one chunk, if no single text is longer.
-CHUNK = 1 << 23
+CHUNK = 4_000_000
 #: The end token's key.
 END = np.uint64(0)
 
@@ -214,9 +214,8 @@ class LogBilinear:
             c, w = contexts[k : k + 4096], classes[k : k + 4096]
             q = sum(self.t[i][c[:, i]] for i in range(CONTEXT))
             s = q @ self.r.T + self.b
-            s -= s.max(1, keepdims=True)
             own = s[np.arange(len(w)), w]
-            np.exp(s, out=s)
+            np.exp(np.minimum(s, 80, out=s), out=s)
             out[k : k + 4096] = (own - np.log(s.sum(1))) / np.log(10)
         return out
 
@@ -240,7 +239,7 @@ def _add_rows(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def train_nce(model: LogBilinear, share: np.ndarray, contexts: np.ndarray, classes: np.ndarray, state: list, rng: np.random.Generator, noise: int = 48, batch: int = 1024, rate: float = 0.1) -> None:
+def train_nce(model: LogBilinear, share: np.ndarray, contexts: np.ndarray, classes: np.ndarray, state: list, rng: np.random.Generator, noise: int = 48, batch: int = 2048, rate: float = 0.1) -> None:
     """One pass of noise-contrastive estimation: each token is told from `noise` classes drawn from the training shares, drawn once for each batch. Steps are scaled by the gradients' running squares, kept in state."""
     log_kq = np.log(noise * share).astype(np.float32)
     cumulative = np.cumsum(share)
