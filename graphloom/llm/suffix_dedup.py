@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_rows, fan_out, materialise, text_or_empty, utf8
+from graphloom.llm.common import arrow_rows, fan_out, materialise, sliced, text_or_empty, utf8
 from graphloom.llm.induced_sort import suffixes_descending
 from graphloom.llm.pretokens import prefix_sums, range_hashes, range_hashes_at
 
@@ -196,24 +196,35 @@ def _fetch(shards: int):
 
 
 def _sharing(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor without those that cannot share `length` bytes around it with another one.
+    """Rows sorted by anchor without those that cannot share `length` bytes around it with another one, and the others without the bytes that cannot be in such a string.
 
-    Such a string reaches some way to both sides of the anchor. Of the quarters of the length besides the anchor, at least three lie whole in it: so two rows that share it agree on the anchor with three quarters to its left, or two and one, or one and two, or three to its right.
+    A shared string reaches some way to both sides of the anchor. With the length besides the anchor in equal steps, all but one of them lie whole in it: so two rows that share it agree, for some i, on the anchor with i steps to its left and the rest but one to its right.
     """
-    unit = (length - GRAM) // 4
+    steps = max(1, (length - GRAM) // 4)
+    unit = (length - GRAM) // steps
 
     def kept(rows: pa.RecordBatch) -> pa.RecordBatch:
         data, at = utf8(rows.column(5))
-        anchor, place = np.asarray(rows.column(1)), at[:-1] + np.asarray(rows.column(2))
-        several = np.zeros(len(anchor), bool)
+        anchor, offset = np.asarray(rows.column(1)), np.asarray(rows.column(2))
+        place = at[:-1] + offset
+        least, most = np.full(len(anchor), steps), np.full(len(anchor), -1)
         sums = prefix_sums(data)
-        for left in range(4):
-            a, z = place - unit * left, place + GRAM + unit * (3 - left)
+        for left in range(steps):
+            a, z = place - unit * left, place + GRAM + unit * (steps - 1 - left)
             whole = np.flatnonzero((a >= at[:-1]) & (z <= at[1:]))
             key = range_hashes_at(sums, a[whole], z[whole]) ^ anchor[whole].view(np.uint64)
             _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-            several[whole[n[back] > 1]] = True
-        return rows.filter(pa.array(several))
+            hit = whole[n[back] > 1]
+            least[hit], most[hit] = np.minimum(least[hit], left), left
+        rest = length - GRAM - unit * steps + unit
+        on = np.flatnonzero(most >= 0)
+        a = np.maximum(at[:-1][on], place[on] - unit * most[on] - rest)
+        z = np.minimum(at[1:][on], place[on] + GRAM + unit * (steps - 1 - least[on]) + rest)
+        start = np.asarray(rows.column(4))[on] + a - at[:-1][on]
+        offsets = np.concatenate([[0], np.cumsum(z - a)]).astype(np.int32)
+        segment = pa.Array.from_buffers(pa.binary(), len(on), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[sliced(a, z - a)]))])
+        picked = rows.take(pa.array(on))
+        return pa.RecordBatch.from_arrays([*picked.columns[:4], pa.array(start, pa.int64()), segment], schema=rows.schema)
 
     held: list[pa.RecordBatch] = []
     for b in batches:
