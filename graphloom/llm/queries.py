@@ -60,7 +60,7 @@ def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +87,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Cosine links within a label, and the least id reached over them.
+_OP5 = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+ok as (select vec_id, label, e, sqrt(list_inner_product(e, e)) as norm from v
+  where vec_id is not null and label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+pair as (select a.vec_id as u, b.vec_id as v from ok a join ok b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+  where list_inner_product(a.e, b.e) / a.norm / b.norm >= 0.98),
+reach as (select u, v from pair union select r.u, p.v from reach r join pair p on r.v = p.u),
+links as (select u, count(*) as n from pair group by u), low as (select u, min(v) as c from reach group by u)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(c, vec_id)) as component_id, vec_id = least(vec_id, coalesce(c, vec_id)) as kept
+from embeddings left join links on links.u = vec_id left join low on low.u = vec_id
+"""
+
+#: The template tree with its keys as text: token count, three leading tokens, and a third of the others.
+_OP8 = """
+with d as (select doc_id, coalesce(text, '') as t from documents),
+l as (select doc_id, t, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as pos from d),
+k as (select doc_id, t, pos, regexp_split_to_array(regexp_replace(trim(line), '[0-9]+', '#', 'g'), '[ \\t]+') as w from l where trim(line) <> ''),
+p as (select *, unnest(case when len(w) < 12 then [-1] else [0, 1, 2] end) as r from k),
+keyed as (select doc_id, t, pos, case when r < 0 then '-1|' || array_to_string(w, ' ')
+  else r || '|' || len(w) || '|' || array_to_string(w[1:3], ' ') || '|' || array_to_string(list_filter(w, lambda x, i: i > 3 and (i - 1) % 3 = r), ' ') end as key from p),
+r as (select key, arg_min(t, id) as first from (select key, t, min(doc_id) as id from keyed group by key, t) group by key having count(*) >= 10),
+gone as (select distinct doc_id, pos from keyed join r using (key) where t <> first),
+kept as (select l.doc_id, count(*) as n_lines, count(g.pos) as n_dropped, coalesce(string_agg(line, chr(10) order by l.pos) filter (where g.pos is null), '') as text
+  from l left join gone g on g.doc_id = l.doc_id and g.pos = l.pos group by l.doc_id)
+select doc_id, n_lines, n_dropped, sha256(text) as kept_sha256 from kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_embedding_dedup": _OP5, "op8_line_dedup": _OP8}
