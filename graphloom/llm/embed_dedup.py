@@ -82,9 +82,10 @@ class Graph:
             done += size
         return near
 
-    def _beam(self, q: np.ndarray, at: np.ndarray, near: np.ndarray, entry: np.ndarray, beam: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def _beam(self, q: np.ndarray, at: np.ndarray, near: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The best `beam` found for each query and their similarities, from the entry positions on; -1 and -2 where fewer were reached."""
         rows = np.arange(len(q))[:, None]
+        width = max(4, beam // 16)  # of a query's open vectors, so many are followed at once
         seen = np.zeros((len(q), len(at)), bool)
         ids, sim = np.full((len(q), beam), -1), np.full((len(q), beam), -2.0, np.float32)
         entry = entry[:, :beam]
@@ -132,12 +133,14 @@ class Graph:
             part = np.arange(lo, min(len(q), lo + _BLOCK))
             entry, size = self._entries(q[part]), min(beam, len(at))
             while len(part):
-                ids, sim = self._beam(q[part], at, near, entry, size)
+                few = max(8, _BLOCK * BUILD_BEAM // max(size, BUILD_BEAM))
+                each = [self._beam(q[part[k : k + few]], at, near, entry[k : k + few], size) for k in range(0, len(part), few)]
+                ids, sim = (np.concatenate(x) for x in zip(*each, strict=True))
                 full = (sim[:, -1] >= least) & (size < len(at))
                 r, c = np.nonzero((sim >= least) & ~full[:, None])
                 out_q.append(part[r])
                 out_v.append(at[ids[r, c]])
-                part, entry, size = part[full], ids[full], min(2 * size, len(at))
+                part, entry, size = part[full], ids[full], min(4 * size, len(at))
         return np.concatenate([np.zeros(0, np.int64), *out_q]), np.concatenate([np.zeros(0, np.int64), *out_v])
 
 
