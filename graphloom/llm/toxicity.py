@@ -77,7 +77,7 @@ def _fit(row: np.ndarray, feature: np.ndarray, x_scale: np.ndarray, y: np.ndarra
     return w, b
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, features: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", l2: float = 1e-4, steps: int = 300) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, features: int = 1 << 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", l2: float = 1e-3, steps: int = 600) -> ToxicityModel:
     """Fit on labelled rows: at most `fit_rows` of each class, those whose hashed ids come first, with their whole texts. The bias is then set for the share of the classes among all labelled rows.
 
     Labels other than 0 and 1 and null ids are left out. With one class only, or none, every score is that class's share, or 0.5.
