@@ -22,16 +22,28 @@ _BLOCK = 1 << 16
 _SHORT = 32
 
 
-def fingerprint(text: bytes, shingle: int, bits: int) -> bytes:
-    """The SimHash of a text, highest byte first: A-Z in lower case, words between ASCII white space, `shingle` words joined by a space (all of them, if fewer), XXH64 with seed 42 for the lowest 64 bits, 43 for the next, and so on. A bit is 1 if over half the shingles, repeats included, have it. No words: zero."""
+def _shingles(text: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """A text's words joined by spaces, and where in it each shingle starts and ends: A-Z in lower case, words between ASCII white space, `shingle` words (all of them, if fewer)."""
     words = text.lower().split()
     n = max(len(words) - shingle + 1, min(1, len(words)))
     if not n:
-        return bytes(bits // 8)
-    joined = b" ".join(words)
+        return b"", [], []
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    first = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
-    last = ends[len(words) - n :].tolist()
+    return b" ".join(words), np.concatenate([[0], ends[: n - 1] + 1]).tolist(), ends[len(words) - n :].tolist()
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted hashes."""
+    joined, first, last = _shingles(text, shingle)
+    return np.unique(np.fromiter([xxhash.xxh64_intdigest(joined[i:j], 42) for i, j in zip(first, last, strict=True)], np.uint64, len(first)))
+
+
+def fingerprint(text: bytes, shingle: int, bits: int) -> bytes:
+    """The SimHash of a text, highest byte first: XXH64 of its shingles with seed 42 for the lowest 64 bits, 43 for the next, and so on. A bit is 1 if over half the shingles, repeats included, have it. No words: zero."""
+    joined, first, last = _shingles(text, shingle)
+    n = len(first)
+    if not n:
+        return bytes(bits // 8)
     out = []
     for seed in range(42, 42 + bits // 64):
         tally = np.zeros(64, np.int64)
@@ -87,7 +99,7 @@ def _close(a: np.ndarray, b: np.ndarray, shared: int, radius: int) -> np.ndarray
     return out
 
 
-def _links(shared: int, radius: int):
+def _links(shared: int, radius: int, nearest: bool):
     def tree(fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a spanning forest of a long posting list: each fingerprint is held against those not reached yet."""
         left, a, b = np.arange(len(fp)), [], []
@@ -102,12 +114,29 @@ def _links(shared: int, radius: int):
                 queue.extend(found.tolist())
         return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
 
+    def forest(fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A long posting list's links of least distance that join what can be joined: a minimum spanning forest, grown from one fingerprint to the next nearest."""
+        last, left, a, b = 0, np.arange(1, len(fp)), [], []
+        least, parent = np.full(len(left), 8 * fp.shape[1] + 1), np.zeros(len(left), np.int64)
+        while len(left):
+            x = fp[left] ^ fp[last]
+            d = np.where(np.count_nonzero(x == 0, axis=-1) >= shared, np.bitwise_count(x).sum(-1, dtype=np.int64), 8 * fp.shape[1] + 1)
+            nearer = d < least
+            least[nearer], parent[nearer] = d[nearer], last
+            k = int(least.argmin())
+            last = int(left[k])
+            if least[k] <= radius:
+                a.append(rep[parent[k]])
+                b.append(rep[last])
+            left, least, parent = (np.delete(v, k) for v in (left, least, parent))
+        return np.array(a, np.int64), np.array(b, np.int64)
+
     def links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
         a, b = [], []
         for s, n in zip(starts[sizes > _SHORT].tolist(), sizes[sizes > _SHORT].tolist(), strict=True):
-            x, y = tree(fp[s : s + n], rep[s : s + n])
+            x, y = (forest if nearest else tree)(fp[s : s + n], rep[s : s + n])
             a.append(x)
             b.append(y)
         short = np.repeat(sizes <= _SHORT, sizes)
@@ -148,17 +177,43 @@ def _links(shared: int, radius: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 64, radius: int = 3, shared: int | None = None, width: int = 3) -> DataFrame:
-    """(id, fp, component) for every row: rows link when their fingerprints differ in at most `radius` bits, and component is the least id that a row reaches by links.
+def _similar(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose texts' shingle sets have a Jaccard similarity of `similarity` or more. Only texts that some edge names are hashed, each once."""
+    edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("t")).join(nodes, "id")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.int64()), ("s", pa.binary())])
+        for b in batches:
+            yield arrow_rows(schema, id=b.column(0), s=[shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield arrow_rows(schema, a=batch.column(0).filter(pa.array(ok, pa.bool_())), b=batch.column(1).filter(pa.array(ok, pa.bool_())))
+
+    sets = materialise(texts.mapInArrow(hashed, "id long, s binary").distinct())
+    pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    return pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 64, radius: int = 3, shared: int | None = None, width: int = 3, similarity: float | None = None) -> DataFrame:
+    """(id, fp, component) for every row: rows link when their fingerprints differ in at most `radius` bits, and, if `similarity` is given, their shingle sets have that Jaccard similarity or more. component is the least id that a row reaches by links.
 
-    Equal fingerprints are one class before any pair is looked at, so copies cost nothing. Classes are indexed under `width` positional bytes; `shared` is how many equal positional bytes a linked pair has: bits/8 - radius at the least, for which the index misses none. Each posting list tallies shared bytes, drops pairs with fewer, and verifies the bits. Long lists give only a spanning forest.
-    Null and empty texts have fingerprint zero and link like any other; rows that share an id keep one row each; an empty table gives an empty result.
+    Equal fingerprints are one class before any pair is looked at, so copies cost nothing. Classes are indexed under `width` positional bytes; `shared` is how many equal positional bytes a linked pair is taken to have: bits/8 - radius at the least, for which the index misses none. Each posting list tallies shared bytes, drops pairs with fewer than are sure (`width`, or bits/8 - radius), and verifies the bits. Long lists give only a spanning forest, the one of least distances if a similarity is to be verified.
+    Null and empty texts have fingerprint zero and link like any other; rows that share an id keep one row each; rows without an id link only as copies of one that has one; an empty table gives an empty result.
     """
-    shared = bits // 8 - radius if shared is None else shared
+    sure = bits // 8 - radius
     prints = materialise(fingerprints(docs, id_col, text_col, shingle, bits))
     classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    index = classes.mapInArrow(_postings(bits // 8, shared, width), "posting long, fp binary, rep long")
-    edges = index.repartition(fan_out(classes), "posting").sortWithinPartitions("posting", "rep").mapInArrow(_links(shared, radius), "a long, b long")
-    found = components(edges)
+    index = classes.where("rep is not null").mapInArrow(_postings(bits // 8, sure if shared is None else shared, width), "posting long, fp binary, rep long")
+    edges = index.repartition(fan_out(classes), "posting").sortWithinPartitions("posting", "rep").mapInArrow(_links(max(width, sure), radius, similarity is not None), "a long, b long")
+    found = components(edges if similarity is None else _similar(edges, docs, id_col, text_col, shingle, similarity))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return prints.join(named, "fp").select("id", "fp", "component")

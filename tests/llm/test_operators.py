@@ -23,7 +23,7 @@ from graphloom.llm.line_dedup import drop_recurring_lines
 from graphloom.llm.lm_score import score_texts
 from graphloom.llm.packing import allotted, pack
 from graphloom.llm.sharding import shard_by_bytes
-from graphloom.llm.simhash import fingerprint, meeting_keys, near_duplicates
+from graphloom.llm.simhash import fingerprint, meeting_keys, near_duplicates, shingle_set
 from graphloom.llm.suffix_dedup import remove_repeats
 from graphloom.llm.token_counts import Unigram, token_counts
 from graphloom.llm.toxicity import score_toxicity, train_toxicity
@@ -87,6 +87,29 @@ def test_simhash_components(spark, odd, source):
     assert near_duplicates(docs.limit(0), shingle=3).count() == 0
 
 
+def test_similar_texts_share_a_component_and_others_do_not(spark, odd):
+    """Groups of edited texts, from 2 to 120, beside texts that are alike but not similar enough, nulls, empty texts and repeated rows."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(4000)]
+    texts: list = [None, "", "one two", "one two"]
+    for n, edits in [(2, 1), (3, 2), (120, 1), (40, 6), (5, 40)]:
+        base = rng.choice(words, 300)
+        for _ in range(n):
+            t = base.copy()
+            t[rng.choice(300, edits, replace=False)] = rng.choice(words, edits)
+            texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(len(texts) - 1, texts[-1]), (None, texts[5])], "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in near_duplicates(docs, shingle=5, bits=128, radius=32, shared=3, width=2, similarity=0.8).collect()}
+    sets = [set(shingle_set((t or "").encode(), 5).tolist()) for t in texts]
+    jaccard = lambda i, j: len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))
+    linked = [(i, j) for i in range(2, len(texts)) for j in range(i) if jaccard(i, j) >= 0.8]
+    assert sum(got[i] == got[j] for i, j in linked) >= 0.98 * len(linked)
+    for i in range(2, len(texts)):
+        if got[i] != i:
+            assert any(got[j] == got[i] and jaccard(i, j) >= 0.8 for j in range(len(texts)) if j != i)
+    assert got[0] == got[1] == 0 and got[2] == got[3] == 2
+
+
 def test_induced_sort_equals_sorting():
     rng = np.random.default_rng(1)
     for _ in range(60):
