@@ -72,7 +72,7 @@ def byte_size(x: Column | str) -> Column:
     c = _c(x).cast("double")
     out = F.format_string("%d B", _c(x).cast("long"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
-        out = F.when(c >= 1024.0**k, F.concat(F.format_number(c / 1024.0**k, "0.00"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(c >= 1024.0**k, F.format_string(f"%.2f {unit}", c / 1024.0**k)).otherwise(out)
     return out
 
 
