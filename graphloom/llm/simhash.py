@@ -18,8 +18,10 @@ from graphloom.llm.components import components
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: Hashes of so many shingles are counted at once.
 _BLOCK = 1 << 16
-#: Up to so many fingerprints, a posting list is compared pair by pair; a longer one is searched as a tree.
+#: Up to so many fingerprints, a posting list is compared pair by pair at once; a longer one is searched as a tree first.
 _SHORT = 32
+#: Candidates of a fingerprint that a long list gives in the first round after its tree; each later round gives so many times more.
+_MORE = 64
 
 
 def _shingles(text: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
@@ -99,7 +101,30 @@ def _close(a: np.ndarray, b: np.ndarray, shared: int, radius: int) -> np.ndarray
     return out
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The columns of whole posting lists, in parts to be joined: lists come one after the other, and a batch may end within one."""
+    kept: list[tuple] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.asarray(batch.column(0))
+        fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(key), -1)
+        columns = (key, fp, *(np.asarray(batch.column(k)) for k in range(2, batch.num_columns)))
+        cut = int(np.searchsorted(key, key[-1]))  # the last posting list may go on in the next batch
+        if cut:
+            yield [*kept, tuple(c[:cut] for c in columns)]
+            kept = []
+        elif kept and kept[0][0][0] != key[0]:
+            yield kept
+            kept = []
+        kept.append(tuple(c[cut:] for c in columns))
+    if kept:
+        yield kept
+
+
 def _links(shared: int, radius: int, nearest: bool):
+    """Edges (a, b) of posting lists; with `nearest` also (long), the keys of the lists of which only a forest is given."""
+
     def tree(fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a spanning forest of a long posting list: each fingerprint is held against those not reached yet."""
         left, a, b = np.arange(len(fp)), [], []
@@ -131,9 +156,10 @@ def _links(shared: int, radius: int, nearest: bool):
             left, least, parent = (np.delete(v, k) for v in (left, least, parent))
         return np.array(a, np.int64), np.array(b, np.int64)
 
-    def links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
+        long = key[starts[sizes > _SHORT]]
         a, b = [], []
         for s, n in zip(starts[sizes > _SHORT].tolist(), sizes[sizes > _SHORT].tolist(), strict=True):
             x, y = (forest if nearest else tree)(fp[s : s + n], rep[s : s + n])
@@ -148,38 +174,66 @@ def _links(shared: int, radius: int, nearest: bool):
             i = i[_close(fp[i], fp[i + d], shared, radius)]
             a.append(rep[i])
             b.append(rep[i + d])
-        return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+        return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b]), long
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        kept: list[tuple] = []
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("long", pa.int64())])
+        for rows in _lists(batches):
+            a, b, long = links(*(np.concatenate(x) for x in zip(*rows, strict=True)))
+            none = pa.nulls(len(a), pa.int64())
+            yield arrow_rows(schema, a=a, b=b, long=none)
+            if nearest and len(long):
+                none = pa.nulls(len(long), pa.int64())
+                yield arrow_rows(schema, a=none, b=none, long=long)
 
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            a, b = links(*(np.concatenate(x) for x in zip(*rows, strict=True)))
-            return arrow_rows(schema, a=a, b=b)
+    return run
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, rep = (np.asarray(batch.column(k)) for k in (0, 2))
-            fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(key), -1)
-            cut = int(np.searchsorted(key, key[-1]))  # the last posting list may go on in the next batch
-            if cut:
-                yield flush([*kept, (key[:cut], fp[:cut], rep[:cut])])
-                kept = []
-            elif kept and kept[0][0][0] != key[0]:
-                yield flush(kept)
-                kept = []
-            kept.append((key[cut:], fp[cut:], rep[cut:]))
-        if kept:
-            yield flush(kept)
+
+def _across(shared: int, radius: int, most: int):
+    """Candidates (a, b) of long posting lists between different components: of every fingerprint the `most` nearest; more says that a fingerprint has others. All fingerprints but the largest component's are held against those of the components after theirs."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
+
+    def one(fp: np.ndarray, rep: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, which, count = np.unique(comp, return_inverse=True, return_counts=True)
+        order = np.lexsort((rep, which, count[which]))
+        fp, rep, which = fp[order], rep[order], which[order]
+        ends = np.append(np.flatnonzero(which[1:] != which[:-1]) + 1, len(which))
+        a, b, more, held = [], [], False, 0
+        for i in range(int(ends[-2]) if len(ends) > 1 else 0):
+            later = int(ends[np.searchsorted(ends, i, "right")])
+            hit = later + np.flatnonzero(_close(fp[later:], fp[i], shared, radius))
+            if len(hit) > most:
+                more = True
+                hit = hit[np.argsort(np.bitwise_count(fp[hit] ^ fp[i]).sum(-1, dtype=np.int64), kind="stable")[:most]]
+            if len(hit):
+                a.append(np.full(len(hit), rep[i]))
+                b.append(rep[hit])
+                held += len(hit)
+            if held > _BLOCK:
+                yield arrow_rows(schema, a=np.concatenate(a), b=np.concatenate(b), more=np.zeros(held, bool))
+                a, b, held = [], [], 0
+        if held:
+            yield arrow_rows(schema, a=np.concatenate(a), b=np.concatenate(b), more=np.zeros(held, bool))
+        if more:
+            yield arrow_rows(schema, a=[None], b=[None], more=[True])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _lists(batches):
+            key, fp, rep, comp = (np.concatenate(x) for x in zip(*rows, strict=True))
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
+            for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
+                yield from one(fp[s:e], rep[s:e], comp[s:e])
 
     return run
 
 
+def _ordered(edges: DataFrame) -> DataFrame:
+    """The distinct edges between different nodes, the lesser node first."""
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
 def _similar(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """The edges (a, b) whose texts' shingle sets have a Jaccard similarity of `similarity` or more. Only texts that some edge names are hashed, each once."""
-    edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("t")).join(nodes, "id")
 
@@ -203,17 +257,45 @@ def _similar(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     return pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
 
+def _joined(first: DataFrame, index: DataFrame, rule: tuple[int, int], parts: int, verified) -> DataFrame:
+    """Components over the candidates that `verified` passes. first: what _links gives of the index; rule: shared bytes and radius.
+
+    A long list's forest is only where the search begins, for a link may be missing from it: rounds follow over the long lists, of candidates between what are different components so far and were not looked at, until there are none. So every candidate is verified or lies within a component."""
+    tried = materialise(_ordered(first.where("long is null")))
+    linked = materialise(verified(tried))
+    found = components(linked)
+    long = materialise(first.where("long is not null").select(F.col("long").alias("posting")))
+    most = _MORE
+    rest = materialise(index.join(long, "posting", "left_semi")) if long.limit(1).count() else None
+    while rest is not None:
+        named = rest.join(found, F.col("rep") == F.col("node"), "left").select("posting", "fp", "rep", F.coalesce("component", "rep").alias("comp"))
+        given = materialise(named.repartition(parts, "posting").sortWithinPartitions("posting", "rep").mapInArrow(_across(*rule, most), "a long, b long, more boolean"))
+        fresh = materialise(_ordered(given.where("a is not null")).join(tried, ["a", "b"], "left_anti"))
+        if fresh.limit(1).count():
+            linked = materialise(linked.union(verified(fresh)))
+            found = components(linked)
+            tried = tried.union(fresh)
+        if not given.where("more").limit(1).count():
+            return found
+        most *= _MORE
+    return found
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 64, radius: int = 3, shared: int | None = None, width: int = 3, similarity: float | None = None) -> DataFrame:
     """(id, fp, component) for every row: rows link when their fingerprints differ in at most `radius` bits, and, if `similarity` is given, their shingle sets have that Jaccard similarity or more. component is the least id that a row reaches by links.
 
-    Equal fingerprints are one class before any pair is looked at, so copies cost nothing. Classes are indexed under `width` positional bytes; `shared` is how many equal positional bytes a linked pair is taken to have: bits/8 - radius at the least, for which the index misses none. Each posting list tallies shared bytes, drops pairs with fewer than are sure (`width`, or bits/8 - radius), and verifies the bits. Long lists give only a spanning forest, the one of least distances if a similarity is to be verified.
+    Equal fingerprints are one class before any pair is looked at, so copies cost nothing. Classes are indexed under `width` positional bytes; `shared` is how many equal positional bytes a linked pair is taken to have: bits/8 - radius at the least, for which the index misses none. Each posting list tallies shared bytes, drops pairs with fewer than are sure (`width`, or bits/8 - radius), and verifies the bits. A long list gives a spanning forest; if a similarity is to be verified, one of least distances, and then all its candidates that no verified links join.
     Null and empty texts have fingerprint zero and link like any other; rows that share an id keep one row each; rows without an id link only as copies of one that has one; an empty table gives an empty result.
     """
     sure = bits // 8 - radius
     prints = materialise(fingerprints(docs, id_col, text_col, shingle, bits))
     classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("rep")))
     index = classes.where("rep is not null").mapInArrow(_postings(bits // 8, sure if shared is None else shared, width), "posting long, fp binary, rep long")
-    edges = index.repartition(fan_out(classes), "posting").sortWithinPartitions("posting", "rep").mapInArrow(_links(max(width, sure), radius, similarity is not None), "a long, b long")
-    found = components(edges if similarity is None else _similar(edges, docs, id_col, text_col, shingle, similarity))
+    rule, parts = (max(width, sure), radius), fan_out(classes)
+    edges = index.repartition(parts, "posting").sortWithinPartitions("posting", "rep").mapInArrow(_links(*rule, similarity is not None), "a long, b long, long long")
+    if similarity is None:
+        found = components(edges.select("a", "b"))
+    else:
+        found = _joined(materialise(edges), index, rule, parts, lambda pairs: _similar(pairs, docs, id_col, text_col, shingle, similarity))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return prints.join(named, "fp").select("id", "fp", "component")

@@ -110,6 +110,35 @@ def test_similar_texts_share_a_component_and_others_do_not(spark, odd):
     assert got[0] == got[1] == 0 and got[2] == got[3] == 2
 
 
+def test_every_candidate_of_a_long_list_is_verified(spark):
+    """A family of one base, most pairs of which are near by their bits but not similar enough, and pairs that are, at no less distance: what is linked is what brute force over the candidates links."""
+    rng = np.random.default_rng(3)
+    base, texts = np.array([f"w{i}" for i in range(300)], object), []
+    for k in range(540):
+        at, t = 6 * rng.choice(50, 8, replace=False), base.copy()
+        t[at[:5]] = [f"x{k}y{i}" for i in range(5)]
+        texts.append(" ".join(t))
+        if k < 60:  # two of the five edits alike, three others
+            t[at[2:5]] = base[at[2:5]]
+            t[at[5:]] = [f"z{k}y{i}" for i in range(3)]
+            texts.append(" ".join(t))
+    got = {r["id"]: r["component"] for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=5, bits=128, radius=32, shared=3, width=2, similarity=0.8).collect()}
+    sets = [set(shingle_set(t.encode(), 5).tolist()) for t in texts]
+    fp = [fingerprint(t.encode(), 5, 128) for t in texts]
+    links = []
+    for i in range(len(texts)):
+        for j in range(i):
+            same = [x == y for x, y in zip(fp[i], fp[j], strict=True)]
+            near = sum((x ^ y).bit_count() for x, y in zip(fp[i], fp[j], strict=True)) <= 32
+            if near and max(sum(same[:8]), sum(same[8:])) >= 2 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                links.append((i, j))
+    want = list(range(len(texts)))
+    for _ in range(20):
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    assert got == dict(enumerate(want)) and len(set(want)) > 300
+
+
 def test_induced_sort_equals_sorting():
     rng = np.random.default_rng(1)
     for _ in range(60):
