@@ -14,10 +14,15 @@ _SLOTS = ["#", "~", "%"]
 _SEED = 42
 
 
+#: What stands between the digits of one number.
+_POINT = ".,'\u2019\u00a0\u202f"
+
+
 def _tokens(text: Column) -> Column:
-    """Words and numbers in lower case; a capitalised word inside a sentence is a name and begins with ~."""
+    """Words and numbers in lower case; a number keeps its separators, a run of capitalised words inside a sentence is one name, and each of its words begins with ~."""
     marked = F.regexp_replace(text, r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", "~")
-    return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{M}\p{N}~]+"), lambda t: t != "")
+    named = F.regexp_replace(marked, r" (?=~)(?<=~[\p{L}\p{M}]{1,40} )", "")
+    return F.filter(F.split(F.lower(named), rf"[^\p{{L}}\p{{M}}\p{{N}}~{_POINT}]+|(?<![0-9])[{_POINT}]|[{_POINT}](?![0-9])"), lambda t: t != "")
 
 
 def _template(tokens: Column) -> Column:
@@ -31,38 +36,40 @@ def _template(tokens: Column) -> Column:
     return F.transform(tokens, one)
 
 
-def _windows(tokens: Column, width: int, stride: int) -> Column:
-    """(place, hash) of the windows at every stride-th token of the tokens' template."""
-    return let(tokens, lambda t: let(_template(t), lambda m: _places(m, width, stride)))
+def _windows(tokens: Column, widths: Column) -> Column:
+    """(place, hash) of the windows of the tokens' template at every token, of each of the widths."""
+    return let(tokens, lambda t: let(_template(t), lambda m: F.flatten(F.transform(widths, lambda w: _places(m, w)))))
 
 
-def _places(template: Column, width: int, stride: int) -> Column:
-    last = F.floor((F.size(template) - width) / stride).cast("int")
-    places = F.when(F.size(template) >= width, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda k: F.struct((k * stride + 1).cast("int").alias("place"), F.xxhash64(F.slice(template, (k * stride + 1).cast("int"), width)).alias("h")))
+def _places(template: Column, width: Column) -> Column:
+    places = F.when(F.size(template) >= width, F.sequence(F.lit(1), F.size(template) - width + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda k: F.struct(k.alias("place"), F.xxhash64(F.slice(template, k, width)).alias("h")))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8, enough: int = 13, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, matched, item_tokens, slots, reparameterised): one row for each document and benchmark item that it holds, itself or with other values in its slots.
 
-    Documents and items become templates. Windows of `width` template tokens, at every token of the items and at every few of the documents, meet in a hash join; a meeting fixes how the item lies in the document, and there all tokens are compared: as many must agree as `share` of the item, `enough` at the most. Slots must be consistent: one value of the item's always becomes the same value in the document. Documents are read in steps of at most `width` tokens, so short that each item has a whole window in any place.
+    Documents and items become templates. Windows at every token of both meet in a hash join; a meeting fixes how the item lies in the document, and there all tokens are compared: as many must agree as `share` of the item, `enough` at the most. Slots must be consistent: one value of the item's always becomes the same value in the document. An item's windows are as wide as the run of agreeing tokens that is left wherever the others fall when `share` of it agrees, `width` at the most; so none that agrees in `share` is missed, and what an item gives depends on no other item. One that agrees in `enough` only is found if such a run is among them.
     Null and empty texts hold nothing; items under `width` tokens are too short to find and give nothing; rows that share an id count as one; rows without an id are left out; empty tables give no rows.
     """
     items = items.select(F.col(item_col).cast("long").alias("item_id"), _tokens(text_or_empty(text_col)).alias("it")).where("item_id is not null")
     items = items.withColumn("im", _template(F.col("it"))).where(F.size("it") >= width)
-    shortest = items.agg(F.min(F.size("it"))).first()[0] or width
-    stride = max(1, min(width, shortest - width + 1))
     # The same words without names too: a text all in capitals shows none.
-    bare = items.select("item_id", F.transform("it", lambda t: F.ltrim(t, F.lit("~"))).alias("it"))
+    bare = items.select("item_id", F.filter(F.flatten(F.transform("it", lambda t: F.split(t, "~"))), lambda t: t != "").alias("it"))
     bare = bare.withColumn("im", _template(F.col("it")))
     items = items.unionByName(bare).dropDuplicates(["item_id", "it"]).withColumn("form", F.xxhash64("it"))
-    known = items.select("item_id", "form", F.explode(_windows(F.col("it"), width, 1)).alias("w")).select("item_id", "form", F.col("w.place").alias("item_place"), F.col("w.h").alias("h"))
+    size = F.size("it")
+    agreeing = F.ceil(size * share).cast("int")
+    items = items.withColumn("width", F.least(F.lit(width), F.ceil(agreeing / (size - agreeing + 1)).cast("int")))
+    # So many windows are whole wherever the tokens fall that need not agree.
+    items = items.withColumn("least", size - F.col("width") + 1 - F.col("width") * (size - F.least(F.lit(enough), agreeing)))
+    widths = F.array(*[F.lit(r["width"]) for r in items.select("width").distinct().orderBy("width").collect()]).cast("array<int>")
+    known = items.select("item_id", "form", "least", F.explode(_windows(F.col("it"), F.array("width"))).alias("w")).select("item_id", "form", "least", F.col("w.place").alias("item_place"), F.col("w.h").alias("h"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where("doc_id is not null")
-    seen = texts.select("doc_id", F.explode(_windows(_tokens(F.col("text")), width, stride)).alias("w")).select("doc_id", F.col("w.place").alias("doc_place"), F.col("w.h").alias("h"))
-    met = seen.join(known, "h").groupBy("doc_id", "item_id", "form", (F.col("doc_place") - F.col("item_place")).alias("shift")).agg(F.count("*").alias("windows"))
+    seen = texts.select("doc_id", F.explode(_windows(_tokens(F.col("text")), widths)).alias("w")).select("doc_id", F.col("w.place").alias("doc_place"), F.col("w.h").alias("h"))
+    met = seen.join(known, "h").groupBy("doc_id", "item_id", "form", "least", (F.col("doc_place") - F.col("item_place")).alias("shift")).agg(F.count("*").alias("windows")).where("windows >= least").drop("least")
     laid = met.join(texts, "doc_id").join(items, ["item_id", "form"])
     # What lies where the item is said to lie: the document's tokens and template tokens there, null beyond its ends.
-    size = F.size("it")
     aligned = lambda a: F.transform("it", lambda _, i: F.get(a, (i + F.col("shift")).cast("int")))
     there = let(_tokens(F.col("text")), lambda t: F.struct(aligned(t).alias("dt"), let(_template(t), aligned).alias("dm")))
     found = laid.select("doc_id", "item_id", "it", "im", there.alias("there"))

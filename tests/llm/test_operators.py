@@ -269,6 +269,25 @@ def test_decontamination(spark):
     assert contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items.limit(0)).count() == 0
 
 
+def test_decontamination_wherever_the_edits_fall(spark):
+    """An item of the shortest length with three words changed is found in any place and with any words changed; a shorter item beside it changes nothing."""
+    words = "seven lazy foxes cross this frozen river while nobody watches from any dark window tonight".split()
+    assert len(words) == 15
+    spots = [(a, b, c) for a in range(15) for b in range(a) for c in range(b)]
+    docs = [(k, " ".join([*["pad"] * (k % 5), *["changed" if i in at else w for i, w in enumerate(words)], "end"])) for k, at in enumerate(spots)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "none of these words occur")], "item_id long, text string")
+    assert {r.doc_id for r in contaminated(docs, items.where("item_id = 1")).collect()} == set(range(len(spots)))
+    assert {r.doc_id for r in contaminated(docs, items).where("item_id = 1").collect()} == set(range(len(spots)))
+
+
+def test_decontamination_numbers_and_names_are_one_slot(spark):
+    item = "the old boat carries 2.5 tons of salt when captain Hanna Berg sails it to the port"
+    docs = [(1, item.replace("2.5", "1,200").replace("Hanna Berg", "Pedro")), (2, item.replace("2.5", "7").replace("Hanna Berg", "Pedro Ruiz Soto")), (3, item.upper())]
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.item_tokens - r.matched, r.reparameterised) for r in found} == {1: (0, True), 2: (0, True), 3: (0, False)}
+
+
 def test_lines(spark):
     notice = "This notice number {} was issued by office {} for the reader of page {} and all the others who may come by later"
     rng = np.random.default_rng(2)
