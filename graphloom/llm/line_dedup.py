@@ -26,21 +26,23 @@ def _keys(line: Column, depth: int, long: int) -> Column:
     return let(F.split(F.regexp_replace(F.trim(line), "[0-9]+", "#"), "[ \\t]+"), keys)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, depth: int, long: int) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, depth: int, long: int, passage: int) -> DataFrame:
     text = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t"))
     lines = text.select("id", F.xxhash64("t").alias("th"), F.posexplode(_lines(F.col("t"))).alias("at", "line")).where(F.trim("line") != "")
-    return lines.select("id", "th", "at", F.explode(_keys(F.col("line"), depth, long)).alias("key"))
+    wide = F.size(F.split(F.trim("line"), "[ \\t]+")) >= passage
+    return lines.select("id", "th", "at", wide.alias("wide"), F.explode(_keys(F.col("line"), depth, long)).alias("key"))
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = 10, depth: int = 3, long: int = 12) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = 10, depth: int = 3, long: int = 12, passage: int = 50, min_passage: int = 2) -> DataFrame:
     """All columns of docs with the text's recurring lines gone, and n_lines and n_dropped (in the place of columns so named).
 
-    A template recurs if it is in at least `min_texts` different texts: copies of a document count once, so they do not make each other's lines recur. Its lines are dropped from every text but the first that has it (that of the smallest id), and from that text's copies alike.
+    A template recurs if it is in at least `min_texts` different texts, or `min_passage` if its lines have `passage` tokens or more, which do not recur by chance: copies of a document count once, so they do not make each other's lines recur. Its lines are dropped from every text but the first that has it (that of the smallest id), and from that text's copies alike.
     Blank lines stay; null texts stay null, with no lines; an empty text is one blank line. Rows that share an id lose the lines that either would lose at the same place only if their texts are equal; rows without an id are never a template's first. An empty table gives no rows.
     """
-    keyed = _keyed(docs, id_col, text_col, depth, long)
-    each = keyed.groupBy("key", "th").agg(F.min("id").alias("id"))
-    recurring = each.groupBy("key").agg(F.count("*").alias("texts"), F.min_by("th", F.coalesce("id", F.lit((1 << 63) - 1))).alias("first")).where(F.col("texts") >= min_texts).select("key", "first")
+    keyed = _keyed(docs, id_col, text_col, depth, long, passage)
+    each = keyed.groupBy("key", "th").agg(F.min("id").alias("id"), F.first("wide").alias("wide"))  # a key's lines have equally many tokens
+    enough = F.when(F.first("wide"), min_passage).otherwise(min_texts)
+    recurring = each.groupBy("key").agg(enough.alias("enough"), F.count("*").alias("texts"), F.min_by("th", F.coalesce("id", F.lit((1 << 63) - 1))).alias("first")).where("texts >= enough").select("key", "first")
     # Copies of a text lose the same lines, so what is dropped is a matter of texts, not of rows.
     gone = keyed.select("th", "at", "key").join(recurring, "key").where("th <> first").groupBy("th").agg(F.collect_set("at").alias("gone"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

@@ -288,6 +288,17 @@ def test_decontamination_numbers_and_names_are_one_slot(spark):
     assert {r.doc_id: (r.item_tokens - r.matched, r.reparameterised) for r in found} == {1: (0, True), 2: (0, True), 3: (0, False)}
 
 
+@pytest.mark.parametrize("n", [2, 3, 5, 9])
+def test_passages_recur_from_two_texts_on(spark, n):
+    rng = np.random.default_rng(n)
+    passage, short = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55)), "a short line that is in all of them"
+    rows = [(i, "\n".join([sentence(rng, 60), passage, short, sentence(rng, 15)])) for i in range(n)]
+    got = {r.doc_id: r for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1]
+    for i in range(1, n):
+        assert got[i].text == rows[i][1].replace(passage + "\n", "") and got[i].n_dropped == 1
+
+
 def test_lines(spark):
     notice = "This notice number {} was issued by office {} for the reader of page {} and all the others who may come by later"
     rng = np.random.default_rng(2)
