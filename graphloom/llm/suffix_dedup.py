@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import arrow_rows, fan_out, materialise, sliced, text_or_empty, utf8
@@ -25,13 +25,46 @@ CHUNK = 1 << 20
 SHARD = 1 << 20
 #: An id for rows that have none: they come last.
 NO_ID = (1 << 63) - 1
+#: Rows, about, whose runs tell which are common, and the runs' kinds (2^BITS) that are told apart. Common runs are anchors of last resort: this is for even shards alone, results do not depend on it.
+SAMPLE, BITS = 8192, 24
 
-_SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i4"), ("at", "u1")])
-_SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
+#: A document is known by its id and, if other rows share the id or it has none, by a hash of its text (tie; else 0).
+_SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<i8"), ("size", "<i4"), ("at", "u1")])
+_SPAN = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("start", "<i8"), ("end", "<i8")])
 _ASK = np.dtype([("anchor", "<u8"), ("start", "<i8"), ("size", "<i4"), ("at", "u1")])
 
 
-def _segments(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, base: np.ndarray, length: int) -> np.ndarray:
+def _by_place(rows: np.ndarray, *first: np.ndarray) -> np.ndarray:
+    """The order of rows by the first keys (the last of them foremost), document and start."""
+    return np.lexsort((rows["start"], *([rows["tie"]] if rows["tie"].any() else []), rows["doc"], *first))
+
+
+def _new_doc(rows: np.ndarray) -> np.ndarray:
+    """Which rows begin a document; rows lie document by document."""
+    return np.concatenate([[True], (rows["doc"][1:] != rows["doc"][:-1]) | (rows["tie"][1:] != rows["tie"][:-1])])[: len(rows)]
+
+
+def _common_runs(docs: DataFrame, text: Column) -> np.ndarray | None:
+    """Bits, one for each kind of run (the top BITS bits of its hash): set if over 1 in 256 sampled rows has such a run. At most SAMPLE rows, about, are looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                data, at = np.frombuffer(t, np.uint8), np.arange(max(0, len(t) - GRAM + 1))
+                found.append(np.unique(range_hashes(data, at, at + GRAM) >> np.uint64(64 - BITS)))
+        kind, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+        yield arrow_rows(pa.schema([("kind", pa.int64()), ("n", pa.int64())]), kind=kind[n > 1].astype(np.int64), n=n[n > 1])
+
+    rows = docs.count()
+    some = docs.select(text.alias("t")).sample(min(1.0, SAMPLE / max(1, rows)), 1).repartition(8)
+    seen = some.mapInArrow(run, "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n")).where(F.col("n") > max(8, min(rows, SAMPLE) // 256)).collect()
+    bits = np.zeros(1 << BITS, bool)
+    bits[[r["kind"] for r in seen]] = True
+    return np.packbits(bits) if seen else None
+
+
+def _segments(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, tie: np.ndarray, base: np.ndarray, length: int, common: np.ndarray | None = None) -> np.ndarray:
     """Segments of the texts in data: each holds the consecutive windows of `length` bytes that share an anchor occurrence, so equal windows lie in segments of equal anchors, at equal distances from them."""
     windows = len(data) - length + 1
     if windows <= 0:
@@ -39,7 +72,11 @@ def _segments(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, base: np.nd
     at = np.arange(len(data) - GRAM + 1)
     h = range_hashes(data, at, at + GRAM)
     place = np.uint64(len(data).bit_length())
-    key = (h >> place << place) | at.astype(np.uint64)
+    key = h >> np.uint64(1)
+    if common is not None:
+        kind = h >> np.uint64(64 - BITS)
+        key |= (common[kind >> np.uint64(3)] >> (7 - (kind & np.uint64(7)).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(63)
+    key = (key >> place << place) | at.astype(np.uint64)
     w = length - GRAM + 1
     blocks = -(-len(key) // w)
     grid = np.full((blocks, w), np.iinfo(np.uint64).max)
@@ -56,16 +93,19 @@ def _segments(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, base: np.nd
     last = inside[np.append(np.flatnonzero(new)[1:] - 1, len(inside) - 1)] + length
     out = np.empty(len(first), _SEGMENT)
     out["anchor"], out["content"] = h[anchor[first]], range_hashes(data.astype(np.uint16) + 1000, first, last)
-    out["doc"], out["start"], out["size"] = doc[text[first]], base[text[first]] + first - bounds[text[first]], last - first
+    out["doc"], out["tie"], out["start"], out["size"] = doc[text[first]], tie[text[first]], base[text[first]] + first - bounds[text[first]], last - first
     out["at"] = anchor[first] - first
     return out
 
 
+_STEPS = ("doc", "tie", "start")
+
+
 def _packed(rows: np.ndarray) -> bytes:
     """Column by column in the order of the texts, which Spark's codec shortens much better than row by row."""
-    rows = rows[np.lexsort((rows["start"], rows["doc"]))]
-    start = np.diff(rows["start"], prepend=0)
-    return b"".join(np.ascontiguousarray(x).tobytes() for x in (rows["anchor"], rows["content"], np.diff(rows["doc"], prepend=0), start, rows["size"], rows["at"]))
+    rows = rows[_by_place(rows)]
+    columns = (np.diff(rows[name], prepend=0) if name in _STEPS else rows[name] for name in _SEGMENT.names)
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in columns)
 
 
 def _unpacked(bodies: list[bytes]) -> np.ndarray:
@@ -76,7 +116,7 @@ def _unpacked(bodies: list[bytes]) -> np.ndarray:
         part, k = out[at : at + n], 0
         for name in _SEGMENT.names:
             column = np.frombuffer(body, _SEGMENT[name], n, k)
-            part[name] = np.cumsum(column) if name in ("doc", "start") else column
+            part[name] = np.cumsum(column) if name in _STEPS else column
             k += column.nbytes
         at += n
     return out
@@ -84,19 +124,26 @@ def _unpacked(bodies: list[bytes]) -> np.ndarray:
 
 def _ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Segments by anchor, content, document and start; and which of them are copies of an earlier one."""
-    rows = rows[np.lexsort((rows["start"], rows["doc"], rows["content"], rows["anchor"]))]
+    rows = rows[_by_place(rows, rows["content"], rows["anchor"])]
     same = (rows["anchor"][1:] == rows["anchor"][:-1]) & (rows["content"][1:] == rows["content"][:-1])
     head = np.flatnonzero(np.concatenate([[True], ~same]))
     first = rows[np.repeat(head, np.diff(np.append(head, len(rows))))]
-    return rows, (rows["doc"] != first["doc"]) | (rows["start"] != first["start"])
+    return rows, (rows["doc"] != first["doc"]) | (rows["tie"] != first["tie"]) | (rows["start"] != first["start"])
+
+
+def _whole(rows: np.ndarray) -> np.ndarray:
+    """The segments' spans."""
+    out = np.empty(len(rows), _SPAN)
+    out["doc"], out["tie"], out["start"], out["end"] = rows["doc"], rows["tie"], rows["start"], rows["start"] + rows["size"]
+    return out
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
     """Spans of each document in order, those that touch or overlap as one."""
     if not len(spans):
         return spans
-    spans = spans[np.lexsort((spans["start"], spans["doc"]))]
-    cut = np.concatenate([[True], spans["doc"][1:] != spans["doc"][:-1]])
+    spans = spans[_by_place(spans)]
+    cut = _new_doc(spans)
     group = np.cumsum(cut) - 1
     width = np.int64(max(int(spans["end"].max()), 1) + 1)
     reach = np.maximum.accumulate(spans["end"] + group * width) - group * width
@@ -107,30 +154,29 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-_OUT = pa.schema([("id", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
+_OUT = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
+_FOUND = "id long, tie long, kind int, body binary"
 
 
-def _by_doc(rows: np.ndarray, doc: np.ndarray, kind: int) -> pa.RecordBatch:
-    """A row for each document, its records as bytes; rows are sorted by document."""
-    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    return arrow_rows(_OUT, id=doc[at], kind=[kind] * len(at), body=[x.tobytes() for x in np.split(rows, at[1:])] if len(at) else [])
+def _by_doc(rows: np.ndarray, of: np.ndarray, kind: int) -> pa.RecordBatch:
+    """A row for each document, its records as bytes; of: the documents of the rows, which lie document by document."""
+    at = np.flatnonzero(_new_doc(of))
+    return arrow_rows(_OUT, id=of["doc"][at], tie=of["tie"][at], kind=[kind] * len(at), body=[x.tobytes() for x in np.split(rows, at[1:])] if len(at) else [])
 
 
-def _cut(length: int, shards: int):
+def _cut(length: int, shards: int, common: np.ndarray | None):
     """Documents to packed segments, one row for each shard and chunk. Copies within the chunk are settled here: an anchor and content goes out once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 
-        def chunk(parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        def chunk(parts: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
             bounds = np.concatenate([[0], np.cumsum([len(x) for *_, x in parts])])
-            rows = _segments(np.concatenate([x for *_, x in parts]), bounds, np.array([d for d, *_ in parts], np.int64), np.array([b for _, b, _ in parts], np.int64), length)
+            rows = _segments(np.concatenate([x for *_, x in parts]), bounds, *(np.array([p[k] for p in parts], np.int64) for k in range(3)), length, common)
             rows, copy = _ranked(rows) if len(rows) else (rows, np.zeros(0, bool))
-            spans = np.empty(int(copy.sum()), _SPAN)
-            spans["doc"], spans["start"], spans["end"] = rows["doc"][copy], rows["start"][copy], rows["start"][copy] + rows["size"][copy]
-            spans, rows = _merged(spans), rows[~copy]
+            spans, rows = _merged(_whole(rows[copy])), rows[~copy]
             shard, kind, body = [], [], []
-            for k, part, to in ((0, rows, rows["anchor"] % np.uint64(shards)), (1, spans, spans["doc"] % shards)):
+            for k, part, to in ((0, rows, rows["anchor"] % np.uint64(shards)), (1, spans, (spans["doc"] ^ spans["tie"]) % shards)):
                 order = np.argsort(to, kind="stable")
                 part, to = part[order], to[order]
                 at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
@@ -142,11 +188,11 @@ def _cut(length: int, shards: int):
         held: list = []
         size = 0
         for b in batches:
-            data, at = utf8(b.column(1))
-            for doc, i, j in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            data, at = utf8(b.column(2))
+            for doc, tie, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 for k in range(i, max(j - length + 1, i + 1), CHUNK):
-                    held.append((doc, k - i, data[k : min(j, k + CHUNK + length - 1)]))
-                    size += len(held[-1][2])
+                    held.append((doc, tie, k - i, data[k : min(j, k + CHUNK + length - 1)]))
+                    size += len(held[-1][3])
                     if size >= CHUNK:
                         yield chunk(held)
                         held, size = [], 0
@@ -167,30 +213,28 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got.clear()
     if len(rows):
         rows, copy = _ranked(rows)
-        new = np.empty(int(copy.sum()), _SPAN)
-        new["doc"], new["start"], new["end"] = rows["doc"][copy], rows["start"][copy], rows["start"][copy] + rows["size"][copy]
-        spans = np.concatenate([spans, new])
+        spans = np.concatenate([spans, _whole(rows[copy])])
         rows = rows[np.concatenate([[True], (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["content"][1:] != rows["content"][:-1])])]
         head = np.flatnonzero(np.concatenate([[True], rows["anchor"][1:] != rows["anchor"][:-1]]))
         several = np.diff(np.append(head, len(rows)))
         rows = rows[np.repeat(several, several) > 1]
-        rows = rows[np.argsort(rows["doc"], kind="stable")]
+        rows = rows[_by_place(rows)]
         ask = np.empty(len(rows), _ASK)
         for name in _ASK.names:
             ask[name] = rows[name]
-        yield _by_doc(ask, rows["doc"], 2)
+        yield _by_doc(ask, rows, 2)
     spans = _merged(spans)
-    yield _by_doc(spans, spans["doc"], 1)
+    yield _by_doc(spans, spans, 1)
 
 
 def _fetch(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int32()), ("anchor", pa.int64()), ("at", pa.int32()), ("doc", pa.int64()), ("start", pa.int64()), ("segment", pa.binary())])
+        schema = pa.schema([("shard", pa.int32()), ("anchor", pa.int64()), ("at", pa.int32()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("segment", pa.binary())])
         for b in batches:
-            for doc, text, bodies in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for doc, tie, text, bodies in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 ask = np.frombuffer(b"".join(bodies), _ASK)
                 start = ask["start"].tolist()
-                yield arrow_rows(schema, shard=(ask["anchor"] % np.uint64(shards)).astype(np.int32), anchor=ask["anchor"].astype(np.int64), at=ask["at"].astype(np.int32), doc=[doc] * len(ask), start=start, segment=[text[i : i + n] for i, n in zip(start, ask["size"].tolist(), strict=True)])
+                yield arrow_rows(schema, shard=(ask["anchor"] % np.uint64(shards)).astype(np.int32), anchor=ask["anchor"].astype(np.int64), at=ask["at"].astype(np.int32), doc=[doc] * len(ask), tie=[tie] * len(ask), start=start, segment=[text[i : i + n] for i, n in zip(start, ask["size"].tolist(), strict=True)])
 
     return run
 
@@ -204,7 +248,7 @@ def _sharing(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     unit = (length - GRAM) // steps
 
     def kept(rows: pa.RecordBatch) -> pa.RecordBatch:
-        data, at = utf8(rows.column(5))
+        data, at = utf8(rows.column(6))
         anchor, offset = np.asarray(rows.column(1)), np.asarray(rows.column(2))
         place = at[:-1] + offset
         least, most = np.full(len(anchor), steps), np.full(len(anchor), -1)
@@ -220,11 +264,11 @@ def _sharing(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         on = np.flatnonzero(most >= 0)
         a = np.maximum(at[:-1][on], place[on] - unit * most[on] - rest)
         z = np.minimum(at[1:][on], place[on] + GRAM + unit * (steps - 1 - least[on]) + rest)
-        start = np.asarray(rows.column(4))[on] + a - at[:-1][on]
+        start = np.asarray(rows.column(5))[on] + a - at[:-1][on]
         offsets = np.concatenate([[0], np.cumsum(z - a)]).astype(np.int32)
         segment = pa.Array.from_buffers(pa.binary(), len(on), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[sliced(a, z - a)]))])
         picked = rows.take(pa.array(on))
-        return pa.RecordBatch.from_arrays([*picked.columns[:4], pa.array(start, pa.int64()), segment], schema=rows.schema)
+        return pa.RecordBatch.from_arrays([*picked.columns[:5], pa.array(start, pa.int64()), segment], schema=rows.schema)
 
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -248,19 +292,20 @@ def _repeats(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = tempfile.mkdtemp(prefix="repeats-")
         try:
-            docs, starts, sizes = [], [], []
+            docs, ties, starts, sizes = [], [], [], []
             with open(os.path.join(folder, "text"), "wb") as f:
                 for b in _sharing(batches, length):
-                    data, at = utf8(b.column(5))
+                    data, at = utf8(b.column(6))
                     docs.append(np.asarray(b.column(3)))
-                    starts.append(np.asarray(b.column(4)))
+                    ties.append(np.asarray(b.column(4)))
+                    starts.append(np.asarray(b.column(5)))
                     sizes.append(np.diff(at))
                     out = np.zeros(len(data) + b.num_rows, np.uint16)
                     out[np.arange(len(data)) + np.repeat(np.arange(b.num_rows), sizes[-1])] = data.astype(np.uint16) + 1
                     f.write(out.tobytes())
             if not docs or not sum(map(len, docs)):
                 return
-            doc, start, size = (np.concatenate(x) for x in (docs, starts, sizes))
+            doc, tie, start, size = (np.concatenate(x) for x in (docs, ties, starts, sizes))
             begin = np.cumsum(size + 1) - size - 1
             text = np.memmap(os.path.join(folder, "text"), np.uint16, "r")
             spool = open(os.path.join(folder, "runs"), "wb")
@@ -280,16 +325,14 @@ def _repeats(length: int):
             spool.close()
             rows = np.fromfile(os.path.join(folder, "runs"), np.int64).reshape(-1, 2)
             segment = np.searchsorted(begin, rows[:, 1], "right") - 1
-            own, at = doc[segment], start[segment] + rows[:, 1] - begin[segment]
-            order = np.lexsort((at, own, rows[:, 0]))
-            run, own, at = rows[order, 0], own[order], at[order]
+            found = np.empty(len(rows), _SPAN)
+            found["doc"], found["tie"], found["start"] = doc[segment], tie[segment], start[segment] + rows[:, 1] - begin[segment]
+            found["end"] = found["start"] + length
+            order = _by_place(found, rows[:, 0])
+            run, found = rows[order, 0], found[order]
             head = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
-            first = np.repeat(head, np.diff(np.append(head, len(run))))
-            later = (own != own[first]) | (at != at[first])
-            spans = np.empty(int(later.sum()), _SPAN)
-            spans["doc"], spans["start"], spans["end"] = own[later], at[later], at[later] + length
-            spans = _merged(spans)
-            yield _by_doc(spans, spans["doc"], 1)
+            spans = _merged(found[found != found[np.repeat(head, np.diff(np.append(head, len(run))))]])
+            yield _by_doc(spans, spans, 1)
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
@@ -316,16 +359,21 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for) for every row: each byte goes that is covered by a string of `length` bytes which also starts earlier, in a smaller document or earlier in the same one.
 
     Windows of `length` bytes are dealt by content: a segment is the run of windows that share an anchor, equal windows meet under equal anchors, and windows with an anchor of their own need nothing more. Equal segments are pre-aggregated (a copy of an earlier segment goes whole); where an anchor has several contents, the shard's suffixes are sorted by external induced sorting, and common prefixes of `length` show the windows that repeat. Shards are files, so one may be larger than memory.
-    Null text: empty. Rows without an id come last; rows that share an id are one document that starts again, so they do not remove each other's bytes at equal places. Texts shorter than `length` keep everything. An empty table gives no rows.
+    Anchors are chosen among runs of bytes that are not common, as far as a window has any, so that no anchor's segments are many. Segments are held equal if two 64-bit hashes, of the anchor and of the whole, agree; in the sort, bytes are compared.
+    Null text: empty. Rows without an id come last. Of rows that share an id or have none, those of equal texts are one document that is repeated: none removes bytes of another at equal places, and each gets the document's result; those of different texts are documents of their own, in the order of a hash of their texts. Texts shorter than `length` keep everything. An empty table gives no rows.
     """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(id_col).cast("long").alias("own"), text_or_empty(text_col).cast("binary").alias("t"))
+    own = F.col(id_col).cast("long")
+    shared = materialise(docs.select(own.alias("id")).where("id is not null").groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("shared")))
+    base = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("id"), own.alias("own"), text_or_empty(text_col).cast("binary").alias("t"))
+    base = base.join(shared, "id", "left") if shared.limit(1).count() else base.withColumn("shared", F.lit(False))
+    base = base.select("id", F.when(F.col("own").isNull() | F.col("shared"), F.xxhash64("t")).otherwise(0).alias("tie"), "own", "t")
     n = fan_out(docs)
-    cut = base.select("id", "t").mapInArrow(_cut(length, n), "shard int, kind int, body binary")
-    met = materialise(cut.repartition(n, "shard").mapInArrow(_meet, "id long, kind int, body binary"))
-    asked = met.where("kind = 2").groupBy("id").agg(F.collect_list("body").alias("bodies"))
-    texts = base.join(asked, "id")
+    cut = base.select("id", "tie", "t").mapInArrow(_cut(length, n, _common_runs(base, F.col("t"))), "shard int, kind int, body binary")
+    met = materialise(cut.repartition(n, "shard").mapInArrow(_meet, _FOUND))
+    asked = met.where("kind = 2").groupBy("id", "tie").agg(F.collect_list("body").alias("bodies"))
+    texts = base.join(asked, ["id", "tie"])
     asked_bytes = met.where("kind = 2").agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = max(n, asked_bytes * (length + GRAM) // _ASK.itemsize // SHARD)
-    found = texts.select("id", "t", "bodies").mapInArrow(_fetch(shards), "shard int, anchor long, at int, doc long, start long, segment binary").repartition(shards, "shard").sortWithinPartitions("anchor").mapInArrow(_repeats(length), "id long, kind int, body binary")
-    gone = met.where("kind = 1").unionByName(found).groupBy("id").agg(F.collect_list("body").alias("bodies"))
-    return base.join(gone, "id", "left").select("own", "t", "bodies").mapInArrow(_apply(with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").drop(*([] if with_kept else ["kept"]))
+    found = texts.select("id", "tie", "t", "bodies").mapInArrow(_fetch(shards), "shard int, anchor long, at int, doc long, tie long, start long, segment binary").repartition(shards, "shard").sortWithinPartitions("anchor").mapInArrow(_repeats(length), _FOUND)
+    gone = met.where("kind = 1").unionByName(found).groupBy("id", "tie").agg(F.collect_list("body").alias("bodies"))
+    return base.join(gone, ["id", "tie"], "left").select("own", "t", "bodies").mapInArrow(_apply(with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").drop(*([] if with_kept else ["kept"]))

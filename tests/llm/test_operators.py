@@ -154,9 +154,13 @@ def test_induced_sort_equals_sorting():
             assert pre[k] == n
 
 
-def brute_repeats(docs):
+def brute_repeats(docs, tie):
+    """Rows of one id and text are one document; tie: of different texts under one id, or none, which comes first."""
+    rows = [(r.doc_id if r.doc_id is not None else 1 << 62, (r.text or "").encode(), r.doc_id) for r in docs]
+    ids = Counter(i for i, *_ in rows)
+    key = lambda i, b: (i, tie[b] if ids[i] > 1 or i == 1 << 62 else 0)
+    rows = sorted([(key(i, b), b, own) for i, b, own in rows], key=lambda x: x[0])
     seen, out = {}, []
-    rows = sorted(((r.doc_id if r.doc_id is not None else 1 << 62, (r.text or "").encode(), r.doc_id) for r in docs), key=lambda x: x[0])
     for i, b, _ in rows:
         for k in range(len(b) - 99):
             seen.setdefault(b[k : k + 100], (i, k))
@@ -171,14 +175,31 @@ def brute_repeats(docs):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("source", ["odd", "table"])
+@pytest.mark.parametrize("source", ["odd", "table", "shared ids"])
 def test_repeats(spark, odd, source):
-    docs = odd if source == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
+    docs = odd if source != "table" else spark.read.parquet(f"{SF}/documents.parquet")
+    if source == "shared ids":  # different texts under one id and under none, some wholly their own
+        rng = np.random.default_rng(8)
+        common = sentence(rng, 70)
+        own = [" ".join(f"{w}{k}{i}" for i, w in enumerate(rng.choice(WORDS, 80))) for k in range(8)]
+        rows = [(None, own[0]), (None, own[1] + common), (None, common + own[2]), (7, own[3]), (7, own[4] + common), (7, own[3]), (7, ""), (None, None), (9, common), (None, own[0]), (3, own[5] + own[0]), (7, own[6]), (None, own[6] + own[7])]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {(r.text or "").encode(): r.h for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("h")).collect()}
     got = sorted(map(tuple, remove_repeats(docs, with_kept=False).collect()), key=repr)
-    assert got == brute_repeats(docs.collect())
+    assert got == brute_repeats(docs.collect(), tie)
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_of_a_very_common_passage(spark):
+    """A passage in every text, with different words around it: its runs are common, so they are anchors of last resort; results are those of brute force."""
+    rng = np.random.default_rng(4)
+    passage = sentence(rng, 60)
+    rows = [(i, " ".join(f"{w}{rng.integers(1000)}" for w in rng.choice(WORDS, 30)) + passage + " ".join(f"{w}{rng.integers(1000)}" for w in rng.choice(WORDS, 30))) for i in range(150)]
+    docs = spark.createDataFrame([*rows, (400, rows[3][1] + rows[5][1])], "doc_id long, text string")
+    got = sorted(map(tuple, remove_repeats(docs, with_kept=False).collect()), key=repr)
+    assert got == brute_repeats(docs.collect(), {}) and sum(r[2] > len(passage) - 4 for r in got) == 150
+
+
 def test_shards(spark, odd):
     for docs in (odd, spark.read.parquet(f"{SF}/documents.parquet"), odd.limit(0)):
         got = shard_by_bytes(docs, shards=5).toPandas()
