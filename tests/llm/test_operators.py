@@ -21,7 +21,7 @@ from graphloom.llm.embed_dedup import similar_vectors
 from graphloom.llm.induced_sort import suffixes_descending
 from graphloom.llm.line_dedup import drop_recurring_lines
 from graphloom.llm.lm_score import score_texts
-from graphloom.llm.packing import allotted, pack
+from graphloom.llm.packing import Mixture, pack
 from graphloom.llm.sharding import shard_by_bytes
 from graphloom.llm.simhash import fingerprint, meeting_keys, near_duplicates, shingle_set
 from graphloom.llm.suffix_dedup import remove_repeats
@@ -212,13 +212,59 @@ def test_shards(spark, odd):
     assert sizes.max() < 1.3 * sizes.min()
 
 
-def test_allotments_keep_the_mixture():
-    totals = np.array([5, 4000, 0, 977, 12345])
-    given = allotted(np.arange(20), totals, 1024)
-    assert (np.diff(given, axis=0) >= 0).all()
-    assert (given.sum(1) == np.minimum(np.arange(20) * 1024, totals.sum())).all()
-    exact = given.sum(1)[:, None] * totals / totals.sum()
-    assert np.abs(given - exact).max() < 2
+def by_due_times(totals, weights, length):
+    """Window and place of every id, by sorting all due times."""
+    due = sorted((((k + 0.5) / w, q, k) for q, (t, w) in enumerate(zip(totals, weights, strict=True)) for k in range(t)), key=lambda x: x[:2])
+    place = {}
+    for i in range(0, len(due), length):
+        window = sorted((q, k) for _, q, k in due[i : i + length])
+        place |= {x: (i // length, j) for j, x in enumerate(window)}
+    return place
+
+
+@pytest.mark.parametrize("weights", [None, [1.0, 1.0, 1.0, 1.0, 3.0]])
+def test_mixture_equals_sorting_due_times(weights):
+    totals = np.array([7, 900, 1, 311, 2500])
+    mix = Mixture(totals, np.array(weights or totals / totals.sum(), float), 64)
+    want = by_due_times(totals.tolist(), mix.weights.tolist(), 64)
+    got = {}
+    rng = np.random.default_rng(1)
+    for q, t in enumerate(totals.tolist()):
+        cuts = np.unique([0, *rng.integers(0, t, 9), t])
+        for row, lo, size, window, offset in mix.pieces(q, cuts[:-1], np.diff(cuts)):
+            for r, a, m, w, o in zip(row, lo, size, window, offset, strict=True):
+                got |= {(q, int(cuts[r] + a + i)): (int(w), int(o + i)) for i in range(m)}
+    assert len(got) == len(want) and sum(got[x] != want[x] for x in want) == 0
+    given = mix.allotted(np.arange(20))
+    exact = given.sum(1)[:, None] * mix.weights / mix.weights.sum()
+    assert weights or np.abs(given - exact).max() < 2
+
+
+def test_a_rare_source_takes_little_memory():
+    import tracemalloc
+
+    peaks = []
+    for total in (10**8, 10**10, 10**12):
+        mix = Mixture(np.array([total, 5000, total // 3]), np.array([total, 5000, total // 3], float), 1024)
+        tracemalloc.start()
+        found = list(mix.pieces(1, np.array([1000]), np.array([3000])))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert sum(int(x[2].sum()) for x in found) == 3000
+    assert max(peaks) < 1.5 * min(peaks) < 100e6
+
+
+def test_each_source_is_a_queue_and_weights_hold(spark):
+    rows = [(i, "one two three four five six seven " * 20, f"s{i % 300}") for i in range(600)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), length=1024).toPandas()
+    full = got[got.sequence_id < got.sequence_id.max()]
+    per = full.assign(source=full.doc_id % 300).groupby("sequence_id").source.nunique()
+    assert (per == 300).all()
+    rows = [(i, "one two three four five six seven " * 20, "ab"[i % 2] if i < 40 else None) for i in range(60)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), length=512, weights={"a": 3.0, "b": 1.0, None: 1.0}).toPandas()
+    first = got[got.sequence_id < 5]
+    assert abs(first[(first.doc_id < 40) & (first.doc_id % 2 == 0)].length.sum() - 0.6 * 5 * 512) < 3
+    assert abs(first[(first.doc_id < 40) & (first.doc_id % 2 == 1)].length.sum() - 0.2 * 5 * 512) < 3
 
 
 def test_packing_round_trip(spark, odd):
