@@ -14,6 +14,8 @@ from graphloom.llm.components import components
 
 #: Vectors of one graph, about.
 SHARD = 4096
+#: Shards of queries that one task's graph answers, at most; and bytes of vectors in a row that is exchanged, about.
+SPAN, ROW = 8, 8192
 #: Neighbours of a vector on the upper layers (twice as many on the lowest), and the beam while a graph is built.
 LINKS, BUILD_BEAM = 16, 64
 #: Queries that are searched for together.
@@ -34,6 +36,22 @@ class Graph:
             if len(at):
                 self.layers.append((at, self._build(at, 2 * LINKS if k == 0 else LINKS)))
 
+    def packed(self) -> bytes:
+        sizes = np.array([len(self.layers), *(v for at, near in self.layers for v in near.shape)], "<i4")
+        return b"".join([sizes.tobytes(), *(part.astype("<i4").tobytes() for layer in self.layers for part in layer)])
+
+    @staticmethod
+    def unpacked(body: bytes, x: np.ndarray) -> Graph:
+        graph = Graph.__new__(Graph)
+        graph.x, graph.layers = x.astype(np.float32), []
+        flat = np.frombuffer(body, "<i4")
+        n, at = int(flat[0]), 1 + 2 * int(flat[0])
+        for rows, most in flat[1 : 1 + 2 * n].reshape(n, 2).tolist():
+            own, near = flat[at : at + rows].astype(np.int64), flat[at + rows : at + rows + rows * most].reshape(rows, most).astype(np.int64)
+            graph.layers.append((own, near))
+            at += rows * (most + 1)
+        return graph
+
     def _choose(self, q: np.ndarray, ids: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
         """Of each row's candidates (-1: none), up to `most`: first those nearer to q than to any chosen before, then the nearest others."""
         sim = np.where(ids >= 0, np.einsum("bd,bcd->bc", q, self.x[at[np.maximum(ids, 0)]]), -2)
@@ -125,8 +143,8 @@ class Graph:
             entry = np.where(ids >= 0, np.searchsorted(below, at[np.maximum(ids, 0)]), -1)
         return entry
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, vector) of similarity `least` or more; the beam of a query is doubled until its worst vector is below, or it holds all."""
+    def within(self, q: np.ndarray, least: float, beam: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(query, vector) of similarity `least` or more; the beam of a query is widened until its worst vector is below, or it holds all. Not whole: what the first beam finds."""
         out_q, out_v = [], []
         at, near = self.layers[-1]
         for lo in range(0, len(q), _BLOCK):
@@ -136,7 +154,7 @@ class Graph:
                 few = max(8, _BLOCK * BUILD_BEAM // max(size, BUILD_BEAM))
                 each = [self._beam(q[part[k : k + few]], at, near, entry[k : k + few], size) for k in range(0, len(part), few)]
                 ids, sim = (np.concatenate(x) for x in zip(*each, strict=True))
-                full = (sim[:, -1] >= least) & (size < len(at))
+                full = (sim[:, -1] >= least) & (size < len(at)) & whole
                 r, c = np.nonzero((sim >= least) & ~full[:, None])
                 out_q.append(part[r])
                 out_v.append(at[ids[r, c]])
@@ -149,14 +167,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
 
 
-def _audited(graph: Graph, q: np.ndarray, exact_x: np.ndarray, threshold: float, recall: float, audit: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs found with cosine of at least the threshold in double precision; beams are widened until a brute-force audit of evenly spread queries finds `recall` of its pairs."""
-    probe = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
-    want = [np.flatnonzero(exact_x @ q[i] >= threshold) for i in probe]
-    pairs = {(int(i), int(j)) for i, js in zip(probe, want, strict=True) for j in js}
+def audit_pairs(q: np.ndarray, x: np.ndarray, same: bool, threshold: float, probes: int, least: int) -> tuple[np.ndarray, set[tuple[int, int]]]:
+    """Evenly spread probes among the queries, and their links by brute force, not counting a vector with itself; if there are fewer than `least`, the closest pairs up to that number: so there is always something to find."""
+    probe = np.unique(np.linspace(0, len(q) - 1, min(probes, len(q))).astype(int))
+    sim = q[probe] @ x.T
+    if same:
+        sim[np.arange(len(probe)), probe] = -2
+    many = int((sim >= threshold).sum())
+    take = min(max(many, least), int((sim > -2).sum()))
+    flat = np.argpartition(-sim.ravel(), take - 1)[:take] if take else np.zeros(0, np.int64)
+    i, j = np.divmod(flat, len(x))
+    return probe, {(int(a), int(b)) for a, b in zip(probe[i], j, strict=True)}
+
+
+def _audited(graph: Graph, q: np.ndarray, exact_x: np.ndarray, same: bool, threshold: float, recall: float, audit: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs found with cosine of at least the threshold in double precision; beams are widened until a brute-force audit finds `recall` of its pairs."""
+    probe, pairs = audit_pairs(q, exact_x, same, threshold, audit, audit // 2)
+    floor = min([threshold, *(float(exact_x[j] @ q[i]) for i, j in pairs)])
     beam = BUILD_BEAM // 2
-    while True:
-        a, b = graph.within(q[probe].astype(np.float32), threshold - 1e-4, beam)
+    while pairs:
+        a, b = graph.within(q[probe].astype(np.float32), floor - 1e-4, beam, whole=False)
         found = {(int(probe[i]), int(j)) for i, j in zip(a, b, strict=True)}
         if len(pairs & found) >= recall * len(pairs) or beam >= len(exact_x):
             break
@@ -179,50 +209,83 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _links(threshold: float, recall: float, audit: int):
-    """Tasks of one index shard or several: its own vectors (kind 0), then the blocks of vectors that query it (kind 1)."""
+def _read(bodies: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exchanged rows to ids, class sizes and unit vectors, in the order of the ids."""
+    rep, size = (np.concatenate([np.frombuffer(x[k], "<i8") for x in bodies]) for k in (0, 1))
+    x = _unit(np.frombuffer(b"".join(x[2] for x in bodies), "<f8").reshape(len(rep), -1))
+    order = np.argsort(rep)
+    return rep[order], size[order], x[order]
+
+
+def _graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A graph for each shard; rows (g, own, rep, n, vectors) come shard by shard."""
+    schema = pa.schema([("g", pa.int64()), ("own", pa.int64()), ("graph", pa.binary())])
+    now, held = None, []
+    for b in batches:
+        for g, own, *body in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            if (g, own) != now and held:
+                yield arrow_rows(schema, g=[now[0]], own=[now[1]], graph=[Graph(_read(held)[2]).packed()])
+                held = []
+            now = (g, own)
+            held.append(body)
+    if held:
+        yield arrow_rows(schema, g=[now[0]], own=[now[1]], graph=[Graph(_read(held)[2]).packed()])
+
+
+def _links(threshold: float, recall: float, audit: int, block: int):
+    """Tasks of a graph and some shards of queries. Rows (unit, kind, own, rep, n, body) come unit by unit: the graph (kind 0), its vectors (1), its vectors as queries (2, if they are), then other shards' vectors (3), which are answered `block` at a time."""
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
-    def work(index: list, queries: list) -> Iterator[pa.RecordBatch]:
-        own = np.array([r for r, *_ in index], np.int64)
-        order = np.argsort(own)
-        x = _unit(np.stack([np.frombuffer(v, "<f8") for _, _, v in index]))[order]
-        own, size = own[order], np.array([n for _, n, _ in index], np.int64)[order]
-        graph = Graph(x)
-        for rep, weight, q, same in [(own, size, x, True)] + [(np.array([r for r, *_ in part], np.int64), np.array([n for _, n, _ in part], np.int64), _unit(np.stack([np.frombuffer(v, "<f8") for *_, v in part])), False) for part in (queries[k : k + SHARD] for k in range(0, len(queries), SHARD))]:
-            a, b = _audited(graph, q, x, threshold, recall, audit)
-            if same:  # a pair found from either end is a pair
-                a, b = np.divmod(np.unique(np.concatenate([a * len(x) + b, b * len(x) + a])), len(x))
-                a, b = a[a != b], b[a != b]
-                root = _forest(a, b, len(x))
-                yield arrow_rows(schema, rep=own, links=np.bincount(a, size[b], len(x)).astype(np.int64), root=own[root])
-            else:
-                every = np.concatenate([rep, own])
-                rank = np.argsort(np.argsort(every))
-                label = np.sort(every)[_forest(rank[a], rank[len(rep) + b], len(every))]
-                links = np.concatenate([np.bincount(a, size[b], len(rep)), np.bincount(b, weight[a], len(own))]).astype(np.int64)
-                kept = links > 0
-                yield arrow_rows(schema, rep=every[kept], links=links[kept], root=label[rank][kept])
+    def itself(graph: Graph, own: np.ndarray, size: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        a, b = _audited(graph, x, x, True, threshold, recall, audit)
+        a, b = np.divmod(np.unique(np.concatenate([a * len(x) + b, b * len(x) + a])), len(x))  # a pair found from either end is a pair
+        a, b = a[a != b], b[a != b]
+        return arrow_rows(schema, rep=own, links=np.bincount(a, size[b], len(x)).astype(np.int64), root=own[_forest(a, b, len(x))])
+
+    def others(graph: Graph, own: np.ndarray, size: np.ndarray, x: np.ndarray, held: list) -> pa.RecordBatch:
+        rep, weight, q = _read(held)
+        a, b = _audited(graph, q, x, False, threshold, recall, audit)
+        every = np.concatenate([rep, own])
+        rank = np.argsort(np.argsort(every))
+        label = np.sort(every)[_forest(rank[a], rank[len(rep) + b], len(every))]
+        links = np.concatenate([np.bincount(a, size[b], len(rep)), np.bincount(b, weight[a], len(own))]).astype(np.int64)
+        kept = links > 0
+        return arrow_rows(schema, rep=every[kept], links=links[kept], root=label[rank][kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, ([], [])
-        for b in batches:
-            for shard, kind, rep, n, v in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if shard != now and parts[0]:
-                    yield from work(*parts)
-                    parts = ([], [])
-                now = shard
-                parts[kind].append((rep, n, v))
-        if parts[0]:
-            yield from work(*parts)
+        now, graph, index, held, count, ready = None, b"", [], [], 0, None
+        for batch in batches:
+            for unit, kind, rep, n, body in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if unit != now:
+                    if held:
+                        yield others(*ready, held)
+                    now, graph, index, held, count, ready = unit, b"", [], [], 0, None
+                if kind == 0:
+                    graph = body
+                elif kind == 1:
+                    index.append((rep, n, body))
+                else:
+                    if ready is None:
+                        own, size, x = _read(index)
+                        ready, index = (Graph.unpacked(graph, x), own, size, x), []
+                    if kind == 2:
+                        yield itself(*ready)
+                        continue
+                    held.append((rep, n, body))
+                    count += len(rep) // 8
+                    if count >= block:
+                        yield others(*ready, held)
+                        held, count = [], 0
+        if held:
+            yield others(*ready, held)
 
     return run
 
 
-def similar_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.999, audit: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def similar_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.999, audit: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard: int = SHARD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: links are pairs of equal label and cosine of at least the threshold.
 
-    Equal vectors of a label are one class, counted by size. A label's classes are dealt to shards of about SHARD vectors; each shard's graph answers its own vectors and those of the shards before it, so every pair of shards meets once. What is found is verified in double precision; tasks return a row for each vector (links and the least vector reached), never the pairs.
+    Equal vectors of a label are one class, counted by size. A label's classes are dealt to shards of about `shard` vectors, whose graphs are built once and written. Every two shards of a label meet once: the one's vectors query the other's graph, by turns, so that all shards have as much to do; a task holds one graph and answers up to SPAN shards of queries, `shard` vectors at a time. Beams are widened until they find what a brute-force audit found. What is found is verified in double precision; tasks return a row for each vector (links and the least vector reached), never the pairs. Vectors are exchanged once for every two shards of their label, so work grows with the square of a label's rows over `shard`.
     Null labels, and null, empty or zero vectors or such with null or non-finite components, link with nothing; neither do vectors of different lengths. Rows that share an id get the same component, each counted. An empty table gives no rows.
     """
     v = F.col("v")
@@ -231,18 +294,37 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float =
     rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     group = F.xxhash64(F.col("label").cast("string"), F.size("v"))
     classes = materialise(rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("g", group))
-    shards = classes.groupBy("g").agg(F.ceil(F.count("*") / SHARD).cast("long").alias("s"))
-    dealt = classes.join(shards, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("s"))).withColumn("b", F.explode(F.sequence(F.col("own"), F.col("s") - 1)))
+    shards = materialise(classes.groupBy("g").agg(F.ceil(F.count("*") / shard).cast("long").alias("s")))
+    parts = fan_out(classes)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("rep", pa.int64()), ("n", pa.int64()), ("vector", pa.binary())])
+        """Vectors of one shard, sorted by shard, as rows of about ROW bytes."""
+        schema = pa.schema([("g", pa.int64()), ("own", pa.int64()), ("s", pa.int64()), ("rep", pa.binary()), ("n", pa.binary()), ("body", pa.binary())])
         for b in batches:
-            flat, at = np.asarray(b.column(4).flatten()), np.asarray(b.column(4).offsets)
+            g, own, s, rep, n = (np.asarray(b.column(k)) for k in range(5))
+            flat, at = np.asarray(b.column(5).flatten()).astype("<f8"), np.asarray(b.column(5).offsets)
             at = at - at[0] if len(at) else at
-            yield arrow_rows(schema, shard=b.column(0), kind=b.column(1), rep=b.column(2), n=b.column(3), vector=[flat[i:j].astype("<f8").tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+            new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (own[1:] != own[:-1])])[: len(g)])
+            cuts = [(k, min(k + m, z)) for a, z in zip(new.tolist(), [*new[1:].tolist(), len(g)], strict=True) for m in [max(1, ROW // 8 // int(at[a + 1] - at[a]))] for k in range(a, z, m)]
+            first = [k for k, _ in cuts]
+            yield arrow_rows(schema, g=g[first], own=own[first], s=s[first], rep=[rep[a:z].astype("<i8").tobytes() for a, z in cuts], n=[n[a:z].astype("<i8").tobytes() for a, z in cuts], body=[flat[at[a] : at[z]].tobytes() for a, z in cuts])
 
-    keyed = dealt.select(F.xxhash64("g", "b").alias("shard"), (F.col("own") != F.col("b")).cast("int").alias("kind"), "rep", "n", "v").mapInArrow(packed, "shard long, kind int, rep long, n long, vector binary")
-    found = materialise(keyed.repartition(fan_out(classes), "shard").sortWithinPartitions("shard", "kind", "rep").mapInArrow(_links(threshold, recall, audit), "rep long, links long, root long"))
+    dealt = classes.join(shards, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("s"))).select("g", "own", "s", "rep", "n", "v")
+    blocks = materialise(dealt.repartition(parts, "g", "own").sortWithinPartitions("g", "own", "rep").mapInArrow(packed, "g long, own long, s long, rep binary, n binary, body binary"))
+    graphs = materialise(blocks.repartition(parts, "g", "own").sortWithinPartitions("g", "own").select("g", "own", "rep", "n", "body").mapInArrow(_graphs, "g long, own long, graph binary"))
+    none = F.lit(None).cast("binary")
+    unit = lambda index, queries: F.xxhash64("g", index, F.floor(queries / SPAN))
+    # Of shards i < j, i has the graph if i + j is odd, else j: a shard's graph meets about half of the others.
+    answers = lambda i, j: (i == j) | (((i + j) % 2 == 1) == (i < j))
+    graph = graphs.join(shards, "g").select("g", "own", "s", F.lit(0).alias("kind"), none.alias("rep"), none.alias("n"), F.col("graph").alias("body"))
+    index = blocks.select("g", "own", "s", F.lit(1).alias("kind"), "rep", "n", "body").unionByName(graph)
+    index = index.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("s") - 1) / SPAN))))
+    index = index.select(unit(F.col("own"), F.col("q") * SPAN).alias("unit"), "kind", F.lit(-1).cast("long").alias("of"), "rep", "n", "body")
+    queries = blocks.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1))).where(answers(F.col("i"), F.col("own")) & (F.col("i") != F.col("own")))
+    queries = queries.select(unit(F.col("i"), F.col("own")).alias("unit"), F.lit(3).alias("kind"), F.col("own").alias("of"), "rep", "n", "body")
+    itself = graphs.select(unit(F.col("own"), F.col("own")).alias("unit"), F.lit(2).alias("kind"), F.col("own").alias("of"), none.alias("rep"), none.alias("n"), none.alias("body"))
+    work = index.unionByName(queries).unionByName(itself)
+    found = materialise(work.repartition(parts, "unit").sortWithinPartitions("unit", "kind", "of").select("unit", "kind", "rep", "n", "body").mapInArrow(_links(threshold, recall, audit, shard), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("rep <> root").select("rep", "root"))
     named = classes.select("label", "v", "rep", "n").join(links, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from graphloom.llm import queries as corpus
 from graphloom.llm.components import components
 from graphloom.llm.decontaminate import contaminated
-from graphloom.llm.embed_dedup import similar_vectors
+from graphloom.llm.embed_dedup import Graph, audit_pairs, similar_vectors
 from graphloom.llm.induced_sort import suffixes_descending
 from graphloom.llm.line_dedup import drop_recurring_lines
 from graphloom.llm.lm_score import score_texts
@@ -322,6 +322,40 @@ def test_embeddings(spark):
     assert similar_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("links", ["many", "few", "none"])
+def test_embeddings_over_many_shards(spark, links):
+    """Planted links between vectors of a label that fills many shards, against brute force over all pairs."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1400, 24))
+    planted = {"many": 500, "few": 5, "none": 0}[links]
+    for k in range(planted):
+        x[1399 - k] = x[k % 200] + rng.normal(size=24) * 0.12
+    label = np.where(np.arange(1400) % 7 == 0, 1, 0)
+    rows = [(i, v.tolist(), int(g)) for i, (v, g) in enumerate(zip(x, label, strict=True))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(df, shard=64).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label) & ~np.eye(1400, dtype=bool)
+    n = near.sum(1)
+    recall = sum(got[i][0] for i in range(1400)) / max(1, n.sum())
+    print(f"links {int(n.sum()) // 2}, recall {recall:.4f}")
+    assert (n.sum() > 0) == (links != "none") and (recall >= 0.999 or not n.sum())
+    comp = np.arange(1400)
+    for _ in range(50):
+        comp = np.minimum(comp, np.where(near, comp[None, :], 1400).min(1))
+    assert all(got[i] == (n[i], comp[i]) for i in range(1400))
+
+
+def test_the_audit_is_never_empty():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for same in (True, False):
+        probe, pairs = audit_pairs(x[:200] if not same else x, x[100:] if not same else x, same, 0.999999999, 64, 32)
+        assert len(pairs) >= 32 and all(i in probe for i, _ in pairs) and not (same and any(i == j for i, j in pairs))
+    assert Graph.unpacked(Graph(x).packed(), x).within(x.astype(np.float32), 0.9999, 32)[0].tolist() == list(range(300))
+
+
 def test_decontamination(spark):
     item = "A train leaves Oslo at 9 and the tired driver Hanna covers 120 km before the second stop in a quiet town near the border"
     other = item.replace("Hanna", "Pedro").replace("120 km", "85 miles").replace("at 9", "at 11")
