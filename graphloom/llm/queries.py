@@ -59,8 +59,7 @@ def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # As its SQL has it: passages count as other lines do.
-    kept = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_passage=10)
+    kept = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -101,18 +100,23 @@ select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(c, vec_id)) as
 from embeddings left join links on links.u = vec_id left join low on low.u = vec_id
 """
 
-#: The template tree with its keys as text: token count, three leading tokens, and a third of the others.
+#: The template tree with leaves and templates as text.
 _OP8 = """
 with d as (select doc_id, coalesce(text, '') as t from documents),
 l as (select doc_id, t, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as pos from d),
-k as (select doc_id, t, pos, regexp_split_to_array(regexp_replace(trim(line), '[0-9]+', '#', 'g'), '[ \\t]+') as w from l where trim(line) <> ''),
-p as (select *, unnest(case when len(w) < 12 then [-1] else [0, 1, 2] end) as r from k),
-keyed as (select doc_id, t, pos, case when r < 0 then '-1|' || array_to_string(w, ' ')
-  else r || '|' || len(w) || '|' || array_to_string(w[1:3], ' ') || '|' || array_to_string(list_filter(w, lambda x, i: i > 3 and (i - 1) % 3 = r), ' ') end as key from p),
-r as (select key, arg_min(t, id) as first from (select key, t, min(doc_id) as id from keyed group by key, t) group by key having count(*) >= 10),
-gone as (select distinct doc_id, pos from keyed join r using (key) where t <> first),
+k as (select doc_id, t, pos, string_split(regexp_replace(line, '[0-9]+', '#', 'g'), ' ') as w from l where regexp_matches(line, '[^ \\t\\r]')),
+c as (select min(doc_id) as doc_id, t, pos, w, len(w) as n, len(w) || '|' || array_to_string(w[1:3], ' ') as leaf from k group by t, pos, w),
+tok as (select leaf, t, pos, n, doc_id, unnest(w) as token, generate_subscripts(w, 1) as place from c where n >= 12),
+f as (select leaf, place, token from tok where place > 3 group by leaf, place, token having count(*) >= 10),
+tpl as (select leaf, t, pos, any_value(doc_id) as doc_id, any_value(n) as n, count(*) filter (where place <= 3 or f.token is not null) as fixed,
+  string_agg(case when place <= 3 or f.token is not null then token else '*' end, ' ' order by place) as template
+  from tok left join f using (leaf, place, token) group by leaf, t, pos),
+keyed as (select doc_id, t, pos, 'w' || array_to_string(w, ' ') as key, case when n >= 50 then 2 else 10 end as enough from c where n < 12 or n >= 50
+  union all select doc_id, t, pos, 't' || template, 10 from tpl where fixed >= n * 0.5),
+r as (select key, arg_min(t, id) as first from (select key, t, min(doc_id) as id, any_value(enough) as enough from keyed group by key, t) group by key having count(*) >= any_value(enough)),
+gone as (select distinct keyed.t, pos from keyed join r using (key) where t <> first),
 kept as (select l.doc_id, count(*) as n_lines, count(g.pos) as n_dropped, coalesce(string_agg(line, chr(10) order by l.pos) filter (where g.pos is null), '') as text
-  from l left join gone g on g.doc_id = l.doc_id and g.pos = l.pos group by l.doc_id)
+  from l left join gone g on g.t = l.t and g.pos = l.pos group by l.doc_id)
 select doc_id, n_lines, n_dropped, sha256(text) as kept_sha256 from kept
 """
 
