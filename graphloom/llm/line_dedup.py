@@ -29,8 +29,8 @@ def _path(depth: int) -> Column:
     return F.xxhash64("n", _masked(F.substring_index("line", " ", depth)))
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = 10, depth: int = 3, long: int = 12, passage: int = 50, min_passage: int = 2, fixed: float = 0.5) -> DataFrame:
-    """All columns of docs with the text's recurring lines gone, and n_lines and n_dropped (in the place of columns so named).
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = 10, depth: int = 3, long: int = 12, passage: int = 50, min_passage: int = 2, fixed: float = 0.5, with_counts: bool = True) -> DataFrame:
+    """All columns of docs with the text's recurring lines gone, and, if asked for, n_lines and n_dropped (in the place of columns so named).
 
     The tree: a line's token count, then its `depth` leading tokens; digit runs are variable everywhere. Below such a leaf, a token that `min_texts` lines have at its place is fixed, any other is a variable field: that makes the line's template, if `fixed` of its tokens are so. Lines of under `long` tokens are templates as they are, but for digits.
     A template recurs if it is in at least `min_texts` different texts; a line of `passage` tokens or more also if it is in `min_passage` texts as it is, but for digits, for such lines do not recur by chance. Copies of a document count once, so they do not make each other's lines recur; near copies count as different texts. Lines of a recurring template are dropped from every text but the first that has it (that of the smallest id), and from that text's copies alike. Lines that differ in a leading token without digits have different templates. Texts, leaves and templates are told apart by 64-bit hashes.
@@ -59,11 +59,13 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     recurring = recurring.where(F.col("texts") >= F.when(F.col("n") >= passage, min_passage).otherwise(min_texts)).select("key", "first")
     # Copies of a text lose the same lines, so what is dropped is a matter of texts, not of rows.
     gone = materialise(found.select("th", "at", "key").join(recurring, "key").where("th <> first").groupBy("th").agg(F.collect_set("at").alias("gone")))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    columns = [c for c in docs.columns if not with_counts or c not in ("n_lines", "n_dropped")]
     rows = docs.select(*columns, F.xxhash64(text_or_empty(text_col)).alias("__th"))
     joined = rows.join(gone.select(F.col("th").alias("__th"), F.col("gone").alias("__gone")), "__th", "left")
     lines = _lines(F.col(text_col))
     none = F.array().cast("array<int>")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce("__gone", none), i))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in columns], F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.size(F.coalesce("__gone", none)).alias("n_dropped"))
+    new = [text.alias(c) if c == text_col else F.col(c) for c in columns]
+    counts = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.size(F.coalesce("__gone", none)).alias("n_dropped")]
+    return joined.select(*new, *(counts if with_counts else []))

@@ -59,14 +59,15 @@ def fingerprint(text: bytes, shingle: int, bits: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 64) -> DataFrame:
-    """(id, fp binary) for every row; a null text is empty."""
+    """(id, text_hash, fp binary) for every row; a null text is empty. text_hash: 64 bits of the text itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("fp", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.binary())])
         for b in batches:
-            yield arrow_rows(schema, id=b.column(0), fp=[fingerprint(t, shingle, bits) for t in b.column(1).to_pylist()])
+            yield arrow_rows(schema, id=b.column(0), text_hash=b.column(1), fp=[fingerprint(t, shingle, bits) for t in b.column(2).to_pylist()])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("t")).mapInArrow(run, "id long, fp binary")
+    text = text_or_empty(text_col).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t")).mapInArrow(run, "id long, text_hash long, fp binary")
 
 
 def meeting_keys(n_bytes: int, shared: int, width: int) -> list[tuple[int, ...]]:
@@ -282,7 +283,7 @@ def _joined(first: DataFrame, index: DataFrame, rule: tuple[int, int], parts: in
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 64, radius: int = 3, shared: int | None = None, width: int = 3, similarity: float | None = None) -> DataFrame:
-    """(id, fp, component) for every row: rows link when their fingerprints differ in at most `radius` bits, and, if `similarity` is given, their shingle sets have that Jaccard similarity or more. component is the least id that a row reaches by links.
+    """(id, text_hash, fp, component) for every row: rows link when their fingerprints differ in at most `radius` bits, and, if `similarity` is given, their shingle sets have that Jaccard similarity or more. component is the least id that a row reaches by links.
 
     Equal fingerprints are one class before any pair is looked at, so copies cost nothing. Classes are indexed under `width` positional bytes; `shared` is how many equal positional bytes a linked pair is taken to have: bits/8 - radius at the least, for which the index misses none. Each posting list tallies shared bytes, drops pairs with fewer than are sure (`width`, or bits/8 - radius), and verifies the bits. A long list gives a spanning forest; if a similarity is to be verified, one of least distances, and then all its candidates that no verified links join.
     Null and empty texts have fingerprint zero and link like any other; rows that share an id keep one row each; rows without an id link only as copies of one that has one; an empty table gives an empty result.
@@ -298,4 +299,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         found = _joined(materialise(edges), index, rule, parts, lambda pairs: _similar(pairs, docs, id_col, text_col, shingle, similarity))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return prints.join(named, "fp").select("id", "fp", "component")
+    return prints.join(named, "fp").select("id", "text_hash", "fp", "component")

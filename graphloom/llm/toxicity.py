@@ -139,9 +139,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, fea
     return ToxicityModel(weight, float(b + np.log(share[1] / share[0]) - np.log(n[1] / n[0])))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The kept columns (all but those named score, if not given) and score, the probability of the label 1, for every row. Null and empty texts have no features: the bias alone."""
-    keep = [c for c in docs.columns if c != "score"] if keep is None else keep
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, text_col: str = "text", name: str = "score") -> DataFrame:
+    """The kept columns (all but those so named, if not given) and the score, the probability of the label 1, for every row. Null and empty texts have no features: the bias alone."""
+    keep = [c for c in docs.columns if c != name] if keep is None else keep
     columns = docs.select(*keep, text_or_empty(text_col).alias("__text"))
     bits = np.packbits(model.weight != 0)
 
@@ -154,6 +154,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None
                 part = np.bincount(row, weights=model.weight[feature])
                 z[first : first + len(part)] += part
             score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(score)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(score)], names=[*keep, name])
 
-    return columns.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[: len(keep)]) + ", score double")
+    return columns.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[: len(keep)]) + f", `{name}` double")
