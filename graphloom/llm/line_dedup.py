@@ -43,22 +43,22 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     whole, path = leaf(True, F.xxhash64(_masked(F.col("line")))), leaf(False, _path(depth))
     leaves = materialise(keyed.select("id", "th", "at", "n", F.inline(F.when(short, F.array(whole)).when(wide, F.array(path, whole)).otherwise(F.array(path)))))
     one = leaves.groupBy("key").agg(F.first("whole").alias("whole"), F.first("n").alias("n"), F.count("*").alias("lines"), F.min("th").alias("a"), F.max("th").alias("b"))
-    often = materialise(one.where((F.col("a") != F.col("b")) & (F.col("lines") >= F.when(F.col("whole") & wide, min_passage).otherwise(min_texts))).select("key", "n", "whole"))
+    often = materialise(one.where((F.col("a") != F.col("b")) & (F.col("lines") >= F.when(F.col("whole") & wide, min_passage).otherwise(min_texts))).select("key", "n", "whole")).hint("merge")  # it grows with the lines, as does what follows: no size is proven, so none is broadcast
     whole = leaves.where("whole").select("id", "th", "at", "key").join(often.where("whole").select("key", "n"), "key")
     # Of the longer lines, only those at leaves that many lines come to are told token by token, copies of a text once.
     under = keyed.where(~short).withColumn("key", _path(depth)).join(often.where("not whole").select("key"), "key")
     under = materialise(under.groupBy("key", "th", "at").agg(F.min("id").alias("id"), F.first("line").alias("line")))
     under = under.withColumn("tokens", F.split(_masked(F.col("line")), " "))
     each = under.select("key", "th", "at", "id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token")).withColumn("token", F.xxhash64("place", "token"))
-    common = materialise(each.where(F.col("place") >= depth).groupBy("key", "token").count().where(F.col("count") >= min_texts).select("key", "token", F.lit(1).alias("one")))
+    common = materialise(each.where(F.col("place") >= depth).groupBy("key", "token").count().where(F.col("count") >= min_texts).select("key", "token", F.lit(1).alias("one"))).hint("merge")
     template = each.join(common, ["key", "token"], "left").groupBy("key", "th", "at").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.sum(F.coalesce("one", (F.col("place") < depth).cast("int"))).alias("f"), F.bit_xor(F.when(F.col("one").isNotNull(), F.col("token"))).alias("x"))
     template = template.where(F.col("f") >= F.col("n") * fixed).select("id", "th", "at", F.xxhash64("key", "f", "x").alias("key"), F.lit(0).alias("n"))
     found = materialise(whole.select("id", "th", "at", "key", "n").unionByName(template))
     texts = found.groupBy("key", "th").agg(F.min(late).alias("id"), F.first("n").alias("n"))
     recurring = texts.groupBy("key").agg(F.first("n").alias("n"), F.count("*").alias("texts"), F.min(F.struct("id", "th"))["th"].alias("first"))
-    recurring = recurring.where(F.col("texts") >= F.when(F.col("n") >= passage, min_passage).otherwise(min_texts)).select("key", "first")
+    recurring = materialise(recurring.where(F.col("texts") >= F.when(F.col("n") >= passage, min_passage).otherwise(min_texts)).select("key", "first")).hint("merge")
     # Copies of a text lose the same lines, so what is dropped is a matter of texts, not of rows.
-    gone = materialise(found.select("th", "at", "key").join(recurring, "key").where("th <> first").groupBy("th").agg(F.collect_set("at").alias("gone")))
+    gone = materialise(found.select("th", "at", "key").join(recurring, "key").where("th <> first").groupBy("th").agg(F.collect_set("at").alias("gone"))).hint("merge")
     columns = [c for c in docs.columns if not with_counts or c not in ("n_lines", "n_dropped")]
     rows = docs.select(*columns, F.xxhash64(text_or_empty(text_col)).alias("__th"))
     joined = rows.join(gone.select(F.col("th").alias("__th"), F.col("gone").alias("__gone")), "__th", "left")
