@@ -51,11 +51,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache
+def _mixed_bytes() -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(np.arange(256, dtype=np.uint64) + _ODD)
+
+
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """What range_hashes_at needs to hash any range of values."""
     up, _ = _powers(len(values))
+    out = np.zeros(len(values) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        return np.concatenate([[np.uint64(0)], np.cumsum(_mix(values.astype(np.uint64) + _ODD) * up[: len(values)])])
+        mixed = _mixed_bytes()[values] if values.dtype == np.uint8 else _mix(values.astype(np.uint64) + _ODD)
+        mixed *= up[: len(values)]
+        np.cumsum(mixed, out=out[1:])
+    return out
 
 
 def range_hashes_at(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -64,6 +74,17 @@ def range_hashes_at(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
         return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def every_hash(total: np.ndarray, size: int) -> np.ndarray:
+    """range_hashes_at for all ranges of one size."""
+    n = max(0, len(total) - size)
+    _, down = _powers(len(total) - 1)
+    with np.errstate(over="ignore"):
+        out = total[size : size + n] - total[:n]
+        out *= down[:n]
+        out += np.uint64(size)
+        return _mix(out)
+
+
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each range [start, end) of values: equal ranges have equal hashes."""
     return range_hashes_at(prefix_sums(values), starts, ends)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import arrow_rows, fan_out, materialise, sliced, text_or_empty, utf8
 from graphloom.llm.induced_sort import suffixes_descending
-from graphloom.llm.pretokens import prefix_sums, range_hashes, range_hashes_at
+from graphloom.llm.pretokens import every_hash, prefix_sums, range_hashes_at
 
 #: A window's anchor is its least-hashed run of so many bytes.
 GRAM = 24
@@ -25,8 +25,8 @@ CHUNK = 1 << 20
 SHARD = 1 << 20
 #: An id for rows that have none: they come last.
 NO_ID = (1 << 63) - 1
-#: Rows, about, whose runs tell which are common, and the runs' kinds (2^BITS) that are told apart. Common runs are anchors of last resort: this is for even shards alone, results do not depend on it.
-SAMPLE, BITS = 8192, 24
+#: Rows, about, whose runs tell which are common, the runs' kinds (2^BITS) that are told apart to find them, and the fewer kinds (2^FEW) that are looked up. Common runs are anchors of last resort: this is for even shards alone, results do not depend on it.
+SAMPLE, BITS, FEW = 8192, 24, 18
 
 #: A document is known by its id and, if other rows share the id or it has none, by a hash of its text (tie; else 0).
 _SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<i8"), ("size", "<i4"), ("at", "u1")])
@@ -45,23 +45,22 @@ def _new_doc(rows: np.ndarray) -> np.ndarray:
 
 
 def _common_runs(docs: DataFrame, text: Column) -> np.ndarray | None:
-    """Bits, one for each kind of run (the top BITS bits of its hash): set if over 1 in 256 sampled rows has such a run. At most SAMPLE rows, about, are looked at."""
+    """For each kind of run (the top FEW bits of its hash) whether over 1 in 256 sampled rows has a common run of it. At most SAMPLE rows, about, are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for b in batches:
             for t in b.column(0).to_pylist():
-                data, at = np.frombuffer(t, np.uint8), np.arange(max(0, len(t) - GRAM + 1))
-                found.append(np.unique(range_hashes(data, at, at + GRAM) >> np.uint64(64 - BITS)))
+                found.append(np.unique(every_hash(prefix_sums(np.frombuffer(t, np.uint8)), GRAM) >> np.uint64(64 - BITS)))
         kind, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
         yield arrow_rows(pa.schema([("kind", pa.int64()), ("n", pa.int64())]), kind=kind[n > 1].astype(np.int64), n=n[n > 1])
 
     rows = docs.count()
     some = docs.select(text.alias("t")).sample(min(1.0, SAMPLE / max(1, rows)), 1).repartition(8)
     seen = some.mapInArrow(run, "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n")).where(F.col("n") > max(8, min(rows, SAMPLE) // 256)).collect()
-    bits = np.zeros(1 << BITS, bool)
-    bits[[r["kind"] for r in seen]] = True
-    return np.packbits(bits) if seen else None
+    out = np.zeros(1 << FEW, bool)
+    out[[r["kind"] >> (BITS - FEW) for r in seen]] = True
+    return out if seen else None
 
 
 def _segments(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, tie: np.ndarray, base: np.ndarray, length: int, common: np.ndarray | None = None) -> np.ndarray:
@@ -69,21 +68,19 @@ def _segments(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, tie: np.nda
     windows = len(data) - length + 1
     if windows <= 0:
         return np.zeros(0, _SEGMENT)
-    at = np.arange(len(data) - GRAM + 1)
-    h = range_hashes(data, at, at + GRAM)
+    sums = prefix_sums(data)
+    h = every_hash(sums, GRAM)
     place = np.uint64(len(data).bit_length())
     key = h >> np.uint64(1)
     if common is not None:
-        kind = h >> np.uint64(64 - BITS)
-        key |= (common[kind >> np.uint64(3)] >> (7 - (kind & np.uint64(7)).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(63)
-    key = (key >> place << place) | at.astype(np.uint64)
+        key |= common[h >> np.uint64(64 - FEW)].astype(np.uint64) << np.uint64(63)
+    key = (key >> place << place) | np.arange(len(key), dtype=np.uint64)
     w = length - GRAM + 1
-    blocks = -(-len(key) // w)
-    grid = np.full((blocks, w), np.iinfo(np.uint64).max)
-    grid.ravel()[: len(key)] = key
-    ahead = np.minimum.accumulate(grid, 1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-    anchor = (np.minimum(behind[:windows], ahead[w - 1 : w - 1 + windows]) & np.uint64((1 << int(place)) - 1)).astype(np.int64)
+    least, wide = key, 1  # of each run of `wide` keys
+    while 2 * wide <= w:
+        least, wide = np.minimum(least[:-wide], least[wide:]), 2 * wide
+    least = np.minimum(least[: len(least) - (w - wide)], least[w - wide :])
+    anchor = (least & np.uint64((1 << int(place)) - 1)).astype(np.int64)
     text = np.repeat(np.arange(len(doc)), np.diff(bounds))
     inside = np.flatnonzero(text[:windows] == text[length - 1 :])
     if not len(inside):
@@ -92,7 +89,7 @@ def _segments(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, tie: np.nda
     first = inside[new]
     last = inside[np.append(np.flatnonzero(new)[1:] - 1, len(inside) - 1)] + length
     out = np.empty(len(first), _SEGMENT)
-    out["anchor"], out["content"] = h[anchor[first]], range_hashes(data.astype(np.uint16) + 1000, first, last)
+    out["anchor"], out["content"] = h[anchor[first]], range_hashes_at(sums, first, last)
     out["doc"], out["tie"], out["start"], out["size"] = doc[text[first]], tie[text[first]], base[text[first]] + first - bounds[text[first]], last - first
     out["at"] = anchor[first] - first
     return out
@@ -239,15 +236,15 @@ def _fetch(shards: int):
     return run
 
 
-def _sharing(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor without those that cannot share `length` bytes around it with another one, and the others without the bytes that cannot be in such a string.
+def _sharing(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by anchor without those that cannot share `length` bytes around it with another one, and the others without the bytes that cannot be in such a string. Those that are then copies of an earlier one come as spans, with their batch.
 
     A shared string reaches some way to both sides of the anchor. With the length besides the anchor in equal steps, all but one of them lie whole in it: so two rows that share it agree, for some i, on the anchor with i steps to its left and the rest but one to its right.
     """
     steps = max(1, (length - GRAM) // 4)
     unit = (length - GRAM) // steps
 
-    def kept(rows: pa.RecordBatch) -> pa.RecordBatch:
+    def kept(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
         data, at = utf8(rows.column(6))
         anchor, offset = np.asarray(rows.column(1)), np.asarray(rows.column(2))
         place = at[:-1] + offset
@@ -264,11 +261,21 @@ def _sharing(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         on = np.flatnonzero(most >= 0)
         a = np.maximum(at[:-1][on], place[on] - unit * most[on] - rest)
         z = np.minimum(at[1:][on], place[on] + GRAM + unit * (steps - 1 - least[on]) + rest)
-        start = np.asarray(rows.column(5))[on] + a - at[:-1][on]
+        cut = np.empty(len(on), _SEGMENT)
+        cut["anchor"], cut["content"], cut["doc"], cut["tie"] = anchor[on].view(np.uint64), range_hashes_at(sums, a, z), np.asarray(rows.column(3))[on], np.asarray(rows.column(4))[on]
+        cut["start"], cut["size"] = np.asarray(rows.column(5))[on] + a - at[:-1][on], z - a
+        order = _by_place(cut, cut["content"], cut["anchor"])
+        own = cut[order]
+        new = np.concatenate([[True], (own["anchor"][1:] != own["anchor"][:-1]) | (own["content"][1:] != own["content"][:-1])])[: len(own)]
+        head = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(own))))
+        copy = np.zeros(len(on), bool)
+        copy[order] = ~new
+        spans = _whole(own[(own["size"] >= length) & (_whole(own) != _whole(own[head]))])
+        on, a, z, start = on[~copy], a[~copy], z[~copy], cut["start"][~copy]
         offsets = np.concatenate([[0], np.cumsum(z - a)]).astype(np.int32)
         segment = pa.Array.from_buffers(pa.binary(), len(on), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[sliced(a, z - a)]))])
         picked = rows.take(pa.array(on))
-        return pa.RecordBatch.from_arrays([*picked.columns[:5], pa.array(start, pa.int64()), segment], schema=rows.schema)
+        return pa.RecordBatch.from_arrays([*picked.columns[:5], pa.array(start, pa.int64()), segment], schema=rows.schema), spans
 
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -292,9 +299,10 @@ def _repeats(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = tempfile.mkdtemp(prefix="repeats-")
         try:
-            docs, ties, starts, sizes = [], [], [], []
+            docs, ties, starts, sizes, copies = [], [], [], [], [np.zeros(0, _SPAN)]
             with open(os.path.join(folder, "text"), "wb") as f:
-                for b in _sharing(batches, length):
+                for b, spans in _sharing(batches, length):
+                    copies.append(spans)
                     data, at = utf8(b.column(6))
                     docs.append(np.asarray(b.column(3)))
                     ties.append(np.asarray(b.column(4)))
@@ -331,7 +339,7 @@ def _repeats(length: int):
             order = _by_place(found, rows[:, 0])
             run, found = rows[order, 0], found[order]
             head = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
-            spans = _merged(found[found != found[np.repeat(head, np.diff(np.append(head, len(run))))]])
+            spans = _merged(np.concatenate([*copies, found[found != found[np.repeat(head, np.diff(np.append(head, len(run))))]]]))
             yield _by_doc(spans, spans, 1)
         finally:
             shutil.rmtree(folder, ignore_errors=True)
