@@ -6,29 +6,36 @@ With keys, a window per key does the work. Without keys a plain window would gat
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that are numbered side by side when there are no keys.
-PARTS = 64
+#: Ranges that are numbered side by side when there are no keys: these at least, twice the session's shuffle partitions, MOST_PARTS at most.
+PARTS, MOST_PARTS = 64, 512
+
+
+def _range_of(order: Column, bounds: list[Column], low: int = 0) -> Column:
+    """How many of the ascending bounds are at or below the order, by halving."""
+    if not bounds:
+        return F.lit(low)
+    mid = len(bounds) // 2
+    return F.when(order >= bounds[mid], _range_of(order, bounds[mid + 1 :], low + mid + 1)).otherwise(_range_of(order, bounds[:mid], low))
 
 
 def indexed(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: str = "index") -> DataFrame:
-    """A running number from 0. Without keys: rows fall into up to PARTS ranges of the order columns, and each range's numbers begin after the rows of those before it."""
+    """A running number from 0. Without keys: rows fall into ranges of the order columns, more of them the larger the session's exchanges are, and each range's numbers begin after the rows of those before it."""
     if keys:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     # A bounded sample only gives the bounds of the parts; what counts is exact, over all rows.
     kinds = [df.schema[c].dataType for c in order]
-    some = df.select(*order).distinct().orderBy(F.xxhash64(*order)).limit(PARTS * 16).orderBy(*order).collect()
+    parts = max(PARTS, min(MOST_PARTS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    some = df.select(*order).distinct().orderBy(F.xxhash64(*order)).limit(parts * 16).orderBy(*order).collect()
     bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(r, kinds, order, strict=True)]) for r in some[16::16]]
-    part = reduce(lambda a, b: a + b, [(F.struct(*order) >= b).cast("int") for b in bounds], F.lit(0))
-    placed = df.withColumn("__part", part)
+    placed = df.withColumn("__part", _range_of(F.struct(*order), bounds))
     before = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = before.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    # At most PARTS rows are broadcast.
+    # At most MOST_PARTS rows are broadcast.
     return placed.withColumn(name, inside).join(F.broadcast(before), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
 
 

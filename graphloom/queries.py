@@ -502,7 +502,11 @@ def t1(spark, sf):
     return flows.aligned_windows(_events(spark, sf), "1 hour", ["event_type"], [F.count("*").alias("n")]).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-@query("t2_batches")
+@query("t2_batches", f"""with recursive n as (select event_id, user_id, ts, row_number() over ({_W}) as k from events),
+r as (select user_id, k, event_id, ts as start, ts as at, 1 as held, 0::bigint as batch from n where k = 1
+union all select n.user_id, n.k, n.event_id, case when r.held >= 5 or r.at - r.start >= interval '1 hour' then n.ts else r.start end, n.ts,
+case when r.held >= 5 or r.at - r.start >= interval '1 hour' then 1 else r.held + 1 end, r.batch + (r.held >= 5 or r.at - r.start >= interval '1 hour')::int from r join n on n.user_id = r.user_id and n.k = r.k + 1)
+select event_id, batch from r""")
 def t2(spark, sf):
     return flows.count_or_time_batches(_events(spark, sf), 5, 3600, ["user_id"], _ORDER).select("event_id", "batch")
 
@@ -520,12 +524,18 @@ def t4(spark, sf):
     return flows.debounce(_events(spark, sf), 6 * 3600, ["user_id"], _ORDER).select("event_id")
 
 
-@query("t5_sampled")
+@query("t5_sampled", f"""with recursive n as (select event_id, user_id, ts, row_number() over ({_W}) as k, count(*) over (partition by user_id) as rows_of_key from events),
+r as (select user_id, k, event_id, rows_of_key, ts as kept_ts, false as kept from n where k = 1
+union all select n.user_id, n.k, n.event_id, n.rows_of_key, case when n.ts - r.kept_ts >= interval '6 hours' then n.ts else r.kept_ts end, n.ts - r.kept_ts >= interval '6 hours' from r join n on n.user_id = r.user_id and n.k = r.k + 1)
+select event_id from r where kept or k = rows_of_key""")
 def t5(spark, sf):
     return flows.sampled(_events(spark, sf), 6 * 3600, ["user_id"], _ORDER).select("event_id")
 
 
-@query("t1_anchored_windows")
+@query("t1_anchored_windows", f"""with recursive n as (select event_id, user_id, ts, row_number() over ({_W}) as k from events),
+r as (select user_id, k, event_id, ts as start, 0::bigint as "window" from n where k = 1
+union all select n.user_id, n.k, n.event_id, case when n.ts - r.start >= interval '1 hour' then n.ts else r.start end, r."window" + (n.ts - r.start >= interval '1 hour')::int from r join n on n.user_id = r.user_id and n.k = r.k + 1)
+select event_id, "window" from r""")
 def t1a(spark, sf):
     return flows.anchored_windows(_events(spark, sf), 3600, ["user_id"], _ORDER).select("event_id", "window")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import PurePath
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -135,13 +134,13 @@ def throttle_stream(stream: DataFrame, seconds: float, key: str, ts: str = "ts")
 
 
 def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], checkpoint: str) -> StreamingQuery:
-    """Each trigger's rows are merged into a new version of the table under path (v=0, v=1, ...); a trigger that is run again writes the same version again."""
+    """Each trigger's rows are merged into a new version of the table under path (v=0, v=1, ...); a trigger that is run again writes the same version again. path is any Hadoop URI."""
     from graphloom.operators.writes import latest, upsert
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        target = spark.read.parquet(str(PurePath(path) / f"v={n - 1}")) if n else None
+        target = spark.read.parquet(f"{path.rstrip('/')}/v={n - 1}") if n else None
         new = latest(batch, keys, order) if target is None else upsert(target, batch, keys, order)
-        new.write.mode("overwrite").parquet(str(PurePath(path) / f"v={n}"))
+        new.write.mode("overwrite").parquet(f"{path.rstrip('/')}/v={n}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

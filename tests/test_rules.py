@@ -96,6 +96,31 @@ def test_paging_counts_roots(read):
         load_graph(ENTITIES, read, "root", skip=-1, limit=1)
 
 
+def test_paged_roots_prune_their_lists(read):
+    plan = load_graph(ENTITIES, read, "root", limit=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2
+
+
+def test_scalars_and_objects_of_one_key_share_a_join(spark):
+    frames = {"r": spark.createDataFrame([(1, 10), (2, None)], "id int, sid int"), "s": spark.createDataFrame([(10, "ten", 7)], "id int, name string, fid int"), "f": spark.createDataFrame([(7, "far")], "id int, name string")}
+    entities = {
+        "r": Entity("r", ("id",), ("id", "sid"), (Scalar("sname", "s", "sid", "name"), ObjectOf("one", "s", "sid"), ObjectOf("two", "s", "sid"))),
+        "s": Entity("s", ("id",), ("id", "name", "fid"), (Scalar("fname", "f", "fid", "name"),)),
+        "f": Entity("f", ("id",), ("id", "name")),
+    }
+    out = load_graph(entities, frames.__getitem__, "r")
+    rows = {r.id: r for r in out.collect()}
+    assert rows[1].sname == rows[1].one.name == rows[1].two.name == "ten" and rows[1].two.fname == "far"
+    assert rows[2].one is None and rows[2].two is None
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
+
+
+def test_repeated_identifiers_count_once_if_asked(read, spark):
+    frames = {"root": spark.createDataFrame([(1, 10), (1, 10), (2, 10)], "id int, sid int"), "side": spark.createDataFrame([(10, "ten", 7), (10, "ten", 7)], "id int, name string, fid int")}
+    rows = load_graph(ENTITIES, lambda n: frames.get(n, read(n)), "root", distinct=True).collect()
+    assert sorted(r.id for r in rows) == [1, 2] and {r.sname for r in rows} == {"ten"}
+
+
 def test_bad_entities_raise(read):
     with pytest.raises(ValueError, match="identifier"):
         Entity("x", (), ("id",))
