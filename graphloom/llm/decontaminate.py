@@ -36,14 +36,19 @@ def _template(tokens: Column) -> Column:
     return F.transform(tokens, one)
 
 
-def _windows(tokens: Column, widths: Column) -> Column:
-    """(place, hash) of the windows of the tokens' template at every token, of each of the widths."""
-    return let(tokens, lambda t: let(_template(t), lambda m: F.flatten(F.transform(widths, lambda w: _places(m, w)))))
+def _windows(tokens: Column, widths: list[int]) -> Column:
+    """(place, width, hash) of the windows of the tokens' template at every token, of each of the widths. A window's hash is made of its tokens' hashes, each taken once."""
 
+    def places(hashes: Column) -> Column:
+        def one(_: Column, i: Column) -> Column:
+            at = [F.get(hashes, i + k) for k in range(max(widths))]
+            return F.array(*[F.struct((i + 1).alias("place"), F.lit(w).alias("width"), F.xxhash64(*at[:w]).alias("h")) for w in widths])
 
-def _places(template: Column, width: Column) -> Column:
-    places = F.when(F.size(template) >= width, F.sequence(F.lit(1), F.size(template) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda k: F.struct(k.alias("place"), F.xxhash64(F.slice(template, k, width)).alias("h")))
+        found = F.flatten(F.transform(hashes, one))
+        return F.filter(found, lambda x: x["place"] + x["width"] <= F.size(hashes) + 1)
+
+    hashed = lambda m: F.transform(m, lambda t: F.xxhash64(t))
+    return let(tokens, lambda t: let(hashed(_template(t)), places))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8, enough: int = 13, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -63,10 +68,10 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, share: float
     items = items.withColumn("width", F.least(F.lit(width), F.ceil(agreeing / (size - agreeing + 1)).cast("int")))
     # So many windows are whole wherever the tokens fall that need not agree.
     items = items.withColumn("least", size - F.col("width") + 1 - F.col("width") * (size - F.least(F.lit(enough), agreeing)))
-    widths = F.array(*[F.lit(r["width"]) for r in items.select("width").distinct().orderBy("width").collect()]).cast("array<int>")
-    known = items.select("item_id", "form", "least", F.explode(_windows(F.col("it"), F.array("width"))).alias("w")).select("item_id", "form", "least", F.col("w.place").alias("item_place"), F.col("w.h").alias("h"))
+    widths = [r["width"] for r in items.select("width").distinct().orderBy("width").collect()] or [width]
+    known = items.select("item_id", "form", "least", F.col("width").alias("own"), F.inline(_windows(F.col("it"), widths))).where("width = own").select("item_id", "form", "least", F.col("place").alias("item_place"), "h")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where("doc_id is not null")
-    seen = texts.select("doc_id", F.explode(_windows(_tokens(F.col("text")), widths)).alias("w")).select("doc_id", F.col("w.place").alias("doc_place"), F.col("w.h").alias("h"))
+    seen = texts.select("doc_id", F.inline(_windows(_tokens(F.col("text")), widths))).select("doc_id", F.col("place").alias("doc_place"), "h")
     met = seen.join(known, "h").groupBy("doc_id", "item_id", "form", "least", (F.col("doc_place") - F.col("item_place")).alias("shift")).agg(F.count("*").alias("windows")).where("windows >= least").drop("least")
     laid = met.join(texts, "doc_id").join(items, ["item_id", "form"])
     # What lies where the item is said to lie: the document's tokens and template tokens there, null beyond its ends.

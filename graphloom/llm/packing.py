@@ -19,7 +19,9 @@ from graphloom.llm.pretokens import encoder
 #: Queues at most, which bounds what every task holds. With more sources, the largest have a queue each and the others share the last one.
 QUEUES = 4096
 #: Numbers (windows times queues) that a task works on at once.
-CELLS = 1 << 20
+CELLS = 1 << 18
+#: Rows of a batch that a task works on at once.
+ROWS = 2500
 
 
 def token_ids(docs: DataFrame, ranks: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -29,7 +31,7 @@ def token_ids(docs: DataFrame, ranks: str, end_id: int, id_col: str = "doc_id",
         schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
         so_far: dict[str | None, int] = {}
         block = TaskContext.get().partitionId()
-        for b in batches:
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             ids, at = encoder(ranks).encode(b.column(2).to_pylist()), []
             source = b.column(1).to_pylist()
             for q, x in zip(source, ids, strict=True):
@@ -165,7 +167,7 @@ def pack(docs: DataFrame, ranks: str | None = None, end_id: int = 0, length: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             q, start, n = (np.asarray(batch.column(k)) for k in (1, 2, 3))
             for k in np.unique(q):
                 mine = np.flatnonzero(q == k)

@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.binary())])
         for b in batches:
-            yield arrow_rows(schema, id=b.column(0), text_hash=b.column(1), fp=[fingerprint(t, shingle, bits) for t in b.column(2).to_pylist()])
+            yield arrow_rows(schema, id=b.column(0), text_hash=b.column(1), fp=[fingerprint(t.as_py(), shingle, bits) for t in b.column(2)])
 
     text = text_or_empty(text_col).cast("binary")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t")).mapInArrow(run, "id long, text_hash long, fp binary")

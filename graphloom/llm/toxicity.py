@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from graphloom.llm.common import arrow_rows, materialise, text_or_empty
 
@@ -27,11 +29,11 @@ class ToxicityModel:
     bias: float
 
 
-def _present(texts: list[str], used: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _present(texts: Iterable[str], used: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of texts (first text, row, feature): the distinct features of every whole text, of those in use."""
     held: list[str] = []
     size = first = 0
-    for t in [*texts, None]:
+    for t in chain(texts, [None]):
         if t is not None:
             held.append(t.lower())
             size += len(held[-1]) + 1
@@ -142,15 +144,17 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, fea
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, text_col: str = "text", name: str = "score") -> DataFrame:
     """The kept columns (all but those so named, if not given) and the score, the probability of the label 1, for every row. Null and empty texts have no features: the bias alone."""
     keep = [c for c in docs.columns if c != name] if keep is None else keep
-    columns = docs.select(*keep, text_or_empty(text_col).alias("__text"))
+    # A text that is kept goes to Python once, and its batch is read text by text: two copies of a batch of long texts are many MB.
+    once = text_col in keep and docs.schema[text_col].dataType == StringType()
+    columns = docs.select(*keep) if once else docs.select(*keep, text_or_empty(text_col).alias("__text"))
+    place = keep.index(text_col) if once else len(keep)
     bits = np.packbits(model.weight != 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = np.unpackbits(bits).astype(bool)
         for b in batches:
-            texts = b.column(len(keep)).to_pylist()
-            z = np.full(len(texts), model.bias)
-            for first, row, feature in _present(texts, used):
+            z = np.full(b.num_rows, model.bias)
+            for first, row, feature in _present((x.as_py() or "" for x in b.column(place)), used):
                 part = np.bincount(row, weights=model.weight[feature])
                 z[first : first + len(part)] += part
             score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
