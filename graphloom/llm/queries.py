@@ -41,6 +41,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram scores are those of Zipf's law over the ranks of a public vocabulary: tokenizers are not trained here."""
     return token_counts(table(spark, sf_dir, "documents"))
 
 
