@@ -22,6 +22,16 @@ def without(x: Column | str, part: str) -> Column:
     return F.replace(_c(x), F.lit(part), F.lit(""))
 
 
+def replaced(x: Column | str, part: str, by: str) -> Column:
+    """Every occurrence of the part, taken literally."""
+    return F.replace(_c(x), F.lit(part), F.lit(by))
+
+
+def pattern_replaced(x: Column | str, pattern: str, by: str) -> Column:
+    """Every match of the pattern; $1 and so on stand for its groups."""
+    return F.regexp_replace(_c(x), pattern, by)
+
+
 def matches(x: Column | str, pattern: str) -> Column:
     """Null matches nothing."""
     return F.coalesce(_c(x).rlike(pattern), F.lit(False))
@@ -67,6 +77,29 @@ def in_base(x: Column | str, from_base: int, to_base: int) -> Column:
     return F.conv(_c(x).cast("string"), from_base, to_base)
 
 
+def is_prime(x: Column | str) -> Column:
+    """By trial of the divisors up to the root; null and numbers under 2 are none."""
+    c = _c(x).cast("long")
+    root = F.greatest(F.floor(F.sqrt(c)).cast("long"), F.lit(1))
+    divided = F.exists(F.sequence(F.lit(1).cast("long"), root), lambda d: (d > 1) & (c % d == 0))
+    return F.coalesce((c >= 2) & ~divided, F.lit(False))
+
+
+def fibonacci(x: Column | str) -> Column:
+    """The number at that place: 0 and 1 at places 0 and 1; null below 0 and above 92, the last one of 64 bits."""
+    c = _c(x).cast("int")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    steps = F.when(c > 0, F.sequence(F.lit(1), c)).otherwise(F.array().cast("array<int>"))
+    # The follower may pass 64 bits at the last place, where it is not read.
+    last = F.aggregate(steps, F.struct(zero.alias("a"), one.alias("b")), lambda s, _: F.struct(s["b"].alias("a"), F.try_add(s["a"], s["b"]).alias("b")))
+    return F.when(c.between(0, 92), last["a"])
+
+
+def as_map(*columns: str) -> Column:
+    """A map of the columns' names to their values as text."""
+    return F.create_map(*[part for c in columns for part in (F.lit(c), F.col(c).cast("string"))])
+
+
 def byte_size(x: Column | str) -> Column:
     """A number of bytes for people: 1536 is 1.50 KB."""
     c = _c(x).cast("double")

@@ -94,6 +94,7 @@ def part(df: DataFrame, start: int, count: int, order: Sequence[str]) -> DataFra
     return df.orderBy(*order).offset(start).limit(count)
 
 
-def sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n rows at random without replacement (all, if fewer), the same ones for the same seed and input."""
-    return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(n).drop("__r")
+def sample(df: DataFrame, n: int, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """n rows at random without replacement (all, if fewer). With keys: those whose hash of seed and keys comes first, which depends on nothing else; without: the same ones for the same seed and layout of the input."""
+    r = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])) if keys else F.rand(seed)
+    return df.withColumn("__r", r).orderBy("__r", *keys).limit(n).drop("__r")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom import functions as fn
 from graphloom.operators import aggregates as agg
-from graphloom.operators import loose, predicates as p, sequences as seq, sets, writes
+from graphloom.operators import loose, predicates as p, sequences as seq, sets, shapes, writes
 from graphloom.plans import Entity, Far, ListOf, ObjectOf, Scalar, load_graph
 from graphloom.sources import lookups
 from graphloom.sources.files import read_table
@@ -546,6 +546,166 @@ def t1s(spark, sf):
     return flows.sessions(_events(spark, sf), "1 hour", ["user_id"], [F.count("*").alias("n")]).select("user_id", "n", F.col("window_start").cast("timestamp_ntz").alias("window_start"))
 
 
+# Reads, shapes and predicates of their own --------------------------------------------------------------------------
+
+
+@query("s7_first_or_none", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey desc limit 1")
+def s7(spark, sf):
+    df = read_table(spark, sf, "orders", ["o_orderkey", "o_totalprice"])
+    row = lookups.first_or_none(lookups.fetch(df, order_by="o_totalprice", descending=True, limit=1, identifier="o_orderkey"))
+    return spark.createDataFrame([row] if row else [], df.schema)
+
+
+@query("s13_scalar", "select max(o_totalprice) as top from orders")
+def s13(spark, sf):
+    return spark.createDataFrame([(lookups.scalar(read_table(spark, sf, "orders").agg(F.max("o_totalprice"))),)], "top double")
+
+
+@query("s15_any_rows", """select count(*) > 0 as "Value" from orders where o_totalprice < 0""")
+def s15(spark, sf):
+    return lookups.any_rows(read_table(spark, sf, "orders"), p.lt("o_totalprice", 0))
+
+
+@query("s18_renamed", "select n_nationkey as id, n_name as title, n_regionkey from nation")
+def s18(spark, sf):
+    return shapes.renamed(read_table(spark, sf, "nation", ["n_nationkey", "n_name", "n_regionkey"]), {"n_nationkey": "id", "n_name": "title", "absent": "x"})
+
+
+@query("j3_mapped_into", "select p_partkey::varchar as P_PARTKEY, try_cast(p_name as bigint) as p_name, p_retailprice, null::varchar as note from part")
+def j3(spark, sf):
+    return shapes.mapped_into(read_table(spark, sf, "part"), {"P_PARTKEY": "string", "p_name": "bigint", "p_retailprice": "double", "note": "string"})
+
+
+@query("h5_key_values", "select n_nationkey, 'n_name' as name, n_name as value from nation union all select n_nationkey, 'n_regionkey', n_regionkey::varchar from nation")
+def h5(spark, sf):
+    return shapes.key_values(read_table(spark, sf, "nation", ["n_nationkey", "n_name", "n_regionkey"]), ["n_nationkey"])
+
+
+@query("h14_length_check", "select doc_id, coalesce(length(text), 0) between 40 and 4000 as fits, coalesce(length(lang), 0) >= 3 as long_lang from documents")
+def h14(spark, sf):
+    return read_table(spark, sf, "documents").select("doc_id", shapes.length_between("text", 40, 4000).alias("fits"), shapes.length_between("lang", 3).alias("long_lang"))
+
+
+@query("n15_cross_matrix", "select c_nationkey, count(o_orderkey) filter (where o_orderstatus = 'F') as \"F\", count(o_orderkey) filter (where o_orderstatus = 'O') as \"O\" from customer left join orders on o_custkey = c_custkey and o_totalprice > 1000 group by c_nationkey")
+def n15(spark, sf):
+    customers, orders = read_table(spark, sf, "customer", ["c_custkey", "c_nationkey"]), read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
+    on = (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_totalprice") > 1000)
+    return shapes.cross_matrix(customers, orders, on, "c_nationkey", "o_orderstatus", ["F", "O"], F.count("o_orderkey"))
+
+
+@query("p9_replace", "select p_partkey, replace(p_name, 'o', '0') as a, regexp_replace(p_brand, '([0-9])([0-9])', '\\2\\1', 'g') as b from part")
+def p9(spark, sf):
+    return read_table(spark, sf, "part").select("p_partkey", fn.replaced("p_name", "o", "0").alias("a"), fn.pattern_replaced("p_brand", "([0-9])([0-9])", "$2$1").alias("b"))
+
+
+@query("p15_in_and_not_in", "select p_partkey from part where p_size in (1, 5, 7) and p_brand not in ('Brand#11', 'Brand#12')")
+def p15(spark, sf):
+    return read_table(spark, sf, "part").where(p.is_in("p_size", [1, 5, 7]) & p.is_in("p_brand", ["Brand#11", "Brand#12"], negated=True)).select("p_partkey")
+
+
+@query("p19_first_member", "select c_custkey, (select arg_min(o_totalprice, o_orderkey) from orders where o_custkey = c_custkey) as first_price from customer")
+def p19(spark, sf):
+    return _graph(spark, sf, "customer").select("c_custkey", shapes.first_member("orders", "o_totalprice").alias("first_price"))
+
+
+@query("p20_outer_reference", "select o_orderkey from orders join customer on o_custkey = c_custkey where c_acctbal > 0 and exists (select 1 from lineitem where l_orderkey = o_orderkey and l_extendedprice > o_totalprice)")
+def p20(spark, sf):
+    child = p.any_of("lines", lambda x: x["l_extendedprice"] > F.col("o_totalprice"))
+    return _graph(spark, sf, "orders", having=(F.col("customer.c_acctbal") > 0) & child).select("o_orderkey")
+
+
+@query("p21_scalar_predicate", "select o_orderkey, n_name as nation_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where n_name >= 'NATION_2' and o_totalprice > 1000")
+def p21(spark, sf):
+    return _graph(spark, sf, "orders", shape="linear", where=F.col("o_totalprice") > 1000, having=F.col("nation_name") >= "NATION_2").select("o_orderkey", "nation_name")
+
+
+@query("m8_loose_case", "select o_orderkey, lower(coalesce(nullif(o_orderstatus, 'F'), '')) as l, upper((o_totalprice > 1000)::varchar) as u from orders")
+def m8(spark, sf):
+    return read_table(spark, sf, "orders").select("o_orderkey", loose.lower(F.nullif(F.col("o_orderstatus"), F.lit("F"))).alias("l"), loose.upper(F.col("o_totalprice") > 1000).alias("u"))
+
+
+@query("m9_truth", "select p_partkey from part where coalesce(nullif(p_brand, 'Brand#11'), '') <> '' and coalesce(p_size % 3, 0) <> 0")
+def m9(spark, sf):
+    return read_table(spark, sf, "part").where(loose.truth(F.nullif(F.col("p_brand"), F.lit("Brand#11")), "string") & loose.truth(F.col("p_size") % 3, "int")).select("p_partkey")
+
+
+@query("n7_shared_edge", "select o_orderkey, c_name as customer_name, c_acctbal as balance from orders left join customer on o_custkey = c_custkey")
+def n7(spark, sf):
+    return _graph(spark, sf, "orders").select("o_orderkey", "customer_name", F.col("customer.c_acctbal").alias("balance"))
+
+
+@query("n8_type_by_two_keys", "select s_suppkey, a.n_name as own, b.n_name as other from supplier left join nation a on a.n_nationkey = s_nationkey left join nation b on b.n_nationkey = s_nationkey + 1")
+def n8(spark, sf):
+    two = Entity("pair", ("s_suppkey",), ("s_suppkey", "s_nationkey", "s_other"), (Scalar("own", "nation", "s_nationkey", "n_name"), Scalar("other", "nation", "s_other", "n_name")))
+    read = lambda name: read_table(spark, sf, "supplier").withColumn("s_other", F.col("s_nationkey") + 1) if name == "pair" else read_table(spark, sf, name)
+    return load_graph(ENTITIES | {"pair": two}, read, "pair").select("s_suppkey", "own", "other")
+
+
+@query("a0_distinct_roots", "select c_custkey, n_name as nation_name from customer left join nation on c_nationkey = n_nationkey where c_custkey % 7 <> 0")
+def a0(spark, sf):
+    def read(name):
+        df = read_table(spark, sf, name)
+        return df.unionByName(df).withColumn("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey"))) if name == "customer" else df
+
+    return load_graph(ENTITIES, read, "customer", shape="linear", distinct=True).select("c_custkey", "nation_name")
+
+
+@query("k6_stamped_update", "select s_suppkey, case when s_acctbal < 0 then 'low' else s_name end as s_name, case when s_acctbal < 0 then timestamp '2024-01-01' else timestamp '2020-01-01' end as updated_at from supplier")
+def k6(spark, sf):
+    moment = lambda text: F.lit(text).cast("timestamp_ntz")
+    df = read_table(spark, sf, "supplier", ["s_suppkey", "s_name", "s_acctbal"]).withColumn("updated_at", moment("2020-01-01"))
+    return writes.set_where(df, F.col("s_acctbal") < 0, {"s_name": F.lit("low")}, "updated_at", moment("2024-01-01")).select("s_suppkey", "s_name", "updated_at")
+
+
+@query("c5_state_hash", "select count(distinct (p_brand, p_type, p_size)) as states from part")
+def c5(spark, sf):
+    return writes.row_hash(read_table(spark, sf, "part"), ["p_brand", "p_type", "p_size"]).agg(F.count_distinct("state_hash").alias("states"))
+
+
+@query("g8_index_without_null_keys", "select k, min(o_orderkey) as o_orderkey from (select nullif(o_orderpriority, '5-LOW') as k, o_orderkey from orders) where k is not null group by k")
+def g8(spark, sf):
+    df = read_table(spark, sf, "orders").select(F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("k"), "o_orderkey")
+    return agg.first_by_key(df, ["k"], ["o_orderkey"], drop_null_keys=True)
+
+
+@query("l9_random_pick", "select c_custkey from customer order by md5('7:' || c_custkey), c_custkey limit 25")
+def l9(spark, sf):
+    return seq.sample(read_table(spark, sf, "customer", ["c_custkey"]), 25, seed=7, keys=["c_custkey"])
+
+
+@query("u8_split", "select o_orderkey, coalesce(nullif(o_orderstatus, 'P') = 'F', false) as met from orders")
+def u8(spark, sf):
+    met, rest = sets.split(read_table(spark, sf, "orders", ["o_orderkey", "o_orderstatus"]), F.nullif(F.col("o_orderstatus"), F.lit("P")) == "F")
+    return sets.concat(met.select("o_orderkey", F.lit(True).alias("met")), rest.select("o_orderkey", F.lit(False).alias("met")))
+
+
+@query("u10_each", "select p_partkey, unnest(string_split(p_name, ' ')) as word from part")
+def u10(spark, sf):
+    return sets.each(read_table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("words")), "words", "word").select("p_partkey", "word")
+
+
+@query("f6_numbers", """select p_partkey, round_even(p_size / 2.0, 0)::double as half, format('${:,.2f}', p_retailprice) as price, sha256(p_brand) as digest, case when p_partkey * 700 >= 1048576 then printf('%.2f MB', round(p_partkey * 700 / 1048576.0, 2)) when p_partkey * 700 >= 1024 then printf('%.2f KB', round(p_partkey * 700 / 1024.0, 2)) else (p_partkey * 700) || ' B' end as bytes from part""")
+def f6(spark, sf):
+    return read_table(spark, sf, "part").select("p_partkey", fn.rounded(F.col("p_size") / 2, 0).cast("double").alias("half"), fn.money("p_retailprice").alias("price"), fn.digest("p_brand").alias("digest"), fn.byte_size(F.col("p_partkey") * 700).alias("bytes"))
+
+
+@query("f7_base64", "select p_partkey, p_name <> '' as coded, false as plain from part")
+def f7(spark, sf):
+    return read_table(spark, sf, "part").select("p_partkey", fn.is_base64(F.base64(F.col("p_name").cast("binary"))).alias("coded"), fn.is_base64("p_name").alias("plain"))
+
+
+@query("f8_primes_fibonacci", """with recursive f as (select 0 as i, 0::bigint as a, 1::bigint as b union all select i + 1, b, case when i < 90 then a + b end from f where i < 50)
+    select p_partkey, p_partkey >= 2 and not exists (select 1 from range(2, 400) d(k) where k < p_partkey and p_partkey % k = 0 and k * k <= p_partkey) as prime, a as number from part join f on i = p_size""")
+def f8(spark, sf):
+    return read_table(spark, sf, "part").select("p_partkey", fn.is_prime("p_partkey").alias("prime"), fn.fibonacci("p_size").alias("number"))
+
+
+@query("f9_row_as_map", "select p_partkey, p_brand as brand, p_size::varchar as size, 2 as n from part")
+def f9(spark, sf):
+    m = fn.as_map("p_brand", "p_size")
+    return read_table(spark, sf, "part").select("p_partkey", m["p_brand"].alias("brand"), m["p_size"].alias("size"), F.size(m).alias("n"))
+
+
 # The flagship -------------------------------------------------------------------------------------------------------
 
 

@@ -52,6 +52,12 @@ def exists(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == F.lit(value)).agg(F.count("*").alias("Value"))
 
 
+def any_rows(df: DataFrame, where: Column | None = None) -> DataFrame:
+    """One row, Value: whether any row meets the condition; the scan ends at the first."""
+    hit = (df if where is None else df.where(where)).select(F.lit(1)).limit(1)
+    return hit.agg((F.count("*") > 0).alias("Value"))
+
+
 def key_map(df: DataFrame, wanted: DataFrame, from_key: str, to_key: str) -> DataFrame:
     """(from_key, to_key) of the wanted keys that exist; Spark broadcasts the side that it measures to be small."""
     return df.select(from_key, to_key).join(wanted.select(from_key).distinct(), from_key, "left_semi")

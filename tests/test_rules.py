@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import functions as fn
-from graphloom.operators import aggregates, loose, predicates as p, sequences, sets, writes
+from graphloom.operators import aggregates, loose, predicates as p, sequences, sets, shapes, writes
 from graphloom.plans import Entity, Far, ListOf, ObjectOf, Scalar, dependency_order, load_graph
 from graphloom.sources import lookups
 
@@ -175,3 +175,37 @@ def test_page_defaults(spark):
     df = spark.range(200)
     assert lookups.fetch(df, order_by="id", limit=-1).count() == 50
     assert lookups.page_number(3, 20) == (40, 20)
+
+
+def test_row_readers(spark):
+    df = spark.createDataFrame([(2, "b"), (1, None)], "k int, v string")
+    assert sorted(r.k for r in lookups.stream_rows(df)) == [1, 2]
+    assert sorted(lookups.rows_as_dicts(df), key=lambda r: r["k"]) == [{"k": 1, "v": None}, {"k": 2, "v": "b"}]
+    assert lookups.scalar(df.where("k = 2").select("v")) == "b" and lookups.scalar(df.where("k = 3")) is None
+    assert lookups.first_or_none(df.where("k = 3")) is None
+    assert lookups.any_rows(df, F.col("k") > 1).head()[0] is True and lookups.any_rows(df.limit(0)).head()[0] is False
+    assert lookups.named_call("twice", lambda of: df.select((F.col("k") * of).alias("k"))) is None
+    assert sorted(r.k for r in lookups.named_call("twice", of=2).collect()) == [2, 4]
+
+
+def test_shapes(spark):
+    df = spark.createDataFrame([(1, None, "x1"), (2, "7", "")], "id int, n string, t string")
+    assert shapes.renamed(df, {"n": "m", "absent": "y"}).columns == ["id", "m", "t"]
+    assert [tuple(r) for r in shapes.mapped_into(df, {"N": "int", "t": "int", "other": "date"}).collect()] == [(None, None, None), (7, None, None)]
+    assert sorted((r.id, r.name, r.value or "") for r in shapes.key_values(df, ["id"]).collect()) == [(1, "n", ""), (1, "t", "x1"), (2, "n", "7"), (2, "t", "")]
+    assert [tuple(r) for r in df.select(shapes.length_between("n", 0, 1), shapes.length_between("t", 1)).collect()] == [(True, True), (True, False)]
+    lists = spark.createDataFrame([([(1,), (2,)],), ([],), (None,)], "x array<struct<a int>>")
+    assert [r[0] for r in lists.select(shapes.first_member("x", "a")).collect()] == [1, None, None]
+    other = spark.createDataFrame([("7", "a"), ("7", "b"), ("7", "a")], "m string, c string")
+    got = shapes.cross_matrix(df, other, F.col("n") == F.col("m"), "id", "c", ["a", "b"], F.count("c"))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0), (2, 2, 1)]
+
+
+def test_numbers_and_picks(spark):
+    df = spark.range(-1, 95).select(F.col("id").cast("int").alias("n"))
+    got = {r.n: (r.p, r.f) for r in df.select("n", fn.is_prime("n").alias("p"), fn.fibonacci("n").alias("f")).collect()}
+    assert [n for n in range(-1, 30) if got[n][0]] == [2, 3, 5, 7, 11, 13, 17, 19, 23, 29]
+    assert [got[n][1] for n in (-1, 0, 1, 2, 10, 92, 93)] == [None, 0, 1, 1, 55, 7540113804746346429, None]
+    picked = lambda parts: [r.n for r in sequences.sample(df.repartition(parts), 9, seed=3, keys=["n"]).collect()]
+    assert picked(1) == picked(7) and len(set(picked(2))) == 9
+    assert dependency_order({"lines": ["orders"], "orders": ["customers"], "customers": []}) == ["customers", "orders", "lines"]
