@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -16,6 +16,8 @@ from graphloom.llm.common import arrow_rows, materialise, text_or_empty
 
 #: Character n-grams of these lengths are hashed into 2^BITS features.
 ORDERS, BITS = (3, 4, 5), 20
+#: Counts of features to choose from, and the part (one in so many) of the fit's rows that the choice is tried on.
+SIZES, FOLDS = (1 << 9, 1 << 10, 1 << 11, 1 << 12), 4
 #: Code points that are handled at once, if no single text is longer.
 _CHUNK = 1 << 19
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -79,8 +81,23 @@ def _fit(row: np.ndarray, feature: np.ndarray, x_scale: np.ndarray, y: np.ndarra
     return w, b
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, features: int = 1 << 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", l2: float = 1e-3, steps: int = 600) -> ToxicityModel:
-    """Fit on labelled rows: at most `fit_rows` of each class, those whose hashed ids come first, with their whole texts. The bias is then set for the share of the classes among all labelled rows.
+def _best_size(row: np.ndarray, feature: np.ndarray, ratio: np.ndarray, y: np.ndarray, tried: np.ndarray, sizes: Sequence[int], l2: float, steps: int) -> int:
+    """The count of features (those of the first ranks) whose fit on the other rows gives the least log loss on the tried ones; the greatest if either part lacks a class."""
+    if len(set(y[tried])) < 2 or len(set(y[~tried])) < 2:
+        return max(sizes)
+    place = np.cumsum(~tried) - 1
+    losses = []
+    for size in sorted(sizes):
+        inside = feature < size
+        own = inside & ~tried[row]
+        w, b = _fit(place[row[own]], feature[own], ratio[:size], y[~tried], l2, steps)
+        z = np.bincount(row[inside], weights=(w * ratio[:size])[feature[inside]], minlength=len(y))[tried] + b
+        losses.append((float(np.logaddexp(0, np.where(y[tried] > 0, -z, z)).mean()), size))
+    return min(losses)[1]
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, sizes: Sequence[int] = SIZES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", l2: float = 1e-3, steps: int = 600) -> ToxicityModel:
+    """Fit on labelled rows: at most `fit_rows` of each class, those whose hashed ids come first, with their whole texts. The bias is then set for the share of the classes among all labelled rows. How many features are in use is chosen from `sizes` on these rows alone: features, ratios and fits of three quarters of them, by the log loss on the last quarter.
 
     Labels other than 0 and 1 and null ids are left out. With one class only, or none, every score is that class's share, or 0.5.
     """
@@ -93,49 +110,67 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, fea
     order = [F.xxhash64("id"), F.col("id")]
     picked = known.where("y = 1").orderBy(*order).limit(fit_rows).unionByName(known.where("y = 0").orderBy(*order).limit(fit_rows))
     # At most 2 x fit_rows ids are broadcast, so the texts stay where they are.
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(picked), "id").select("text", "y")
+    sample = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(picked), "id")
+    sample = sample.select("text", "y", (F.pmod(F.xxhash64(F.lit("tried"), "id"), F.lit(FOLDS)) == 0).cast("int").alias("tried"))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("y", pa.int32()), ("f", pa.binary())])
+        schema = pa.schema([("y", pa.int32()), ("tried", pa.int32()), ("f", pa.binary())])
         for b in batches:
-            y = np.asarray(b.column(1))
+            y, tried = np.asarray(b.column(1)), np.asarray(b.column(2))
             for first, row, feature in _present(b.column(0).to_pylist()):
                 cuts = np.searchsorted(row, np.arange(row[-1] + 2)) if len(row) else [0]
                 for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    yield arrow_rows(schema, y=[y[first + k]], f=[feature[i:j].astype("<u4").tobytes()])
+                    yield arrow_rows(schema, y=[y[first + k]], tried=[tried[first + k]], f=[feature[i:j].astype("<u4").tobytes()])
 
-    rows = materialise(sample.mapInArrow(present, "y int, f binary"))
+    rows = materialise(sample.mapInArrow(present, "y int, tried int, f binary"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("f", pa.int64()), ("pos", pa.int64()), ("neg", pa.int64())])
-        sums = np.zeros((2, 1 << BITS), np.int64)
+        schema = pa.schema([(c, pa.int64()) for c in ("f", "neg", "pos", "tried_neg", "tried_pos")])
+        sums = np.zeros((4, 1 << BITS), np.int64)
         for b in batches:
-            for y, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[y][np.frombuffer(f, "<u4")] += 1
+            for y, tried, f in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                sums[y + 2 * tried][np.frombuffer(f, "<u4")] += 1
         f = np.flatnonzero(sums.sum(0))
-        yield arrow_rows(schema, f=f, pos=sums[1][f], neg=sums[0][f])
-
-    counts = rows.coalesce(8).mapInArrow(tally, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    rate = lambda c, k: (F.col(c) + 1) / (n[k] + 2)
-    ratio = F.log(rate("pos", 1) / rate("neg", 0))
-    # Of the hashed n-grams, those whose presence tells most: ratio by the root of the rows that have it. The count is fixed.
-    top = counts.where("pos + neg >= 3").select("f", ratio.alias("r"), (F.abs(ratio) * F.sqrt(F.least(F.col("pos") + F.col("neg"), F.lit(400)))).alias("gain")).orderBy(F.desc("gain"), "f").limit(features).collect()
-    f, r = np.array([x["f"] for x in top], np.int64), np.array([x["r"] for x in top])
-    index = np.full(1 << BITS, -1, np.int32)
-    index[f] = np.arange(len(f))
+        neg, pos, tried_neg, tried_pos = sums[:, f]
+        yield arrow_rows(schema, f=f, neg=neg + tried_neg, pos=pos + tried_pos, tried_neg=tried_neg, tried_pos=tried_pos)
+
+    counts = rows.coalesce(8).mapInArrow(tally, "f long, neg long, pos long, tried_neg long, tried_pos long").groupBy("f").agg(*[F.sum(c).alias(c) for c in ("neg", "pos", "tried_neg", "tried_pos")])
+    counts = materialise(counts)
+    seen = {(r["y"], r["tried"]): r["n"] for r in rows.groupBy("y", "tried").agg(F.count("*").alias("n")).collect()}
+    n = [seen.get((k, 0), 0) + seen.get((k, 1), 0) for k in (0, 1)]
+
+    def ranked(pos: Column, neg: Column, of: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the hashed n-grams those whose presence tells most, in that order: log-count ratio by the root of the rows that have it."""
+        ratio = F.log((pos + 1) / (of[1] + 2) / ((neg + 1) / (of[0] + 2)))
+        some = counts.where(pos + neg >= 3).select("f", ratio.alias("r"), (F.abs(ratio) * F.sqrt(F.least(pos + neg, F.lit(400)))).alias("gain"))
+        top = some.orderBy(F.desc("gain"), "f").limit(max(sizes)).collect()
+        return np.array([x["f"] for x in top], np.int64), np.array([x["r"] for x in top], float)
+
+    pos, neg = F.col("pos"), F.col("neg")
+    f, r = ranked(pos, neg, n)
+    of_others, r_of_others = ranked(pos - F.col("tried_pos"), neg - F.col("tried_neg"), [seen.get((k, 0), 0) for k in (0, 1)])
+    ranks = np.full((2, 1 << BITS), -1, np.int32)
+    ranks[0, f], ranks[1, of_others] = np.arange(len(f)), np.arange(len(of_others))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("y", pa.int32()), ("f", pa.binary())])
+        schema = pa.schema([("y", pa.int32()), ("tried", pa.int32()), ("all", pa.binary()), ("others", pa.binary())])
         for b in batches:
-            own = [index[np.frombuffer(x, "<u4")] for x in b.column(1).to_pylist()]
-            yield arrow_rows(schema, y=b.column(0), f=[x[x >= 0].astype("<i4").tobytes() for x in own])
-
-    got = rows.mapInArrow(chosen, "y int, f binary").collect()
-    own = [np.frombuffer(x["f"], "<i4") for x in got]
-    y = np.array([x["y"] for x in got], float)
-    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    w, b = _fit(row, np.concatenate([np.zeros(0, np.int32), *own]).astype(np.int64), r, y, l2, steps)
+            own = [ranks[:, np.frombuffer(x, "<u4")] for x in b.column(2).to_pylist()]
+            yield arrow_rows(schema, y=b.column(0), tried=b.column(1), **{c: [x[k][x[k] >= 0].astype("<i4").tobytes() for x in own] for k, c in enumerate(("all", "others"))})
+
+    # At most 2 x fit_rows rows with the ranks of their own among max(sizes) features.
+    got = rows.mapInArrow(chosen, "y int, tried int, all binary, others binary").collect()
+    y, tried = np.array([x["y"] for x in got], float), np.array([x["tried"] for x in got], bool)
+
+    def listed(column: str) -> tuple[np.ndarray, np.ndarray]:
+        own = [np.frombuffer(x[column], "<i4") for x in got]
+        return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([np.zeros(0, np.int32), *own]).astype(np.int64)
+
+    size = _best_size(*listed("others"), r_of_others, y, tried, sizes, l2, steps)
+    row, feature = listed("all")
+    inside = feature < size
+    f, r = f[:size], r[:size]
+    w, b = _fit(row[inside], feature[inside], r, y, l2, steps)
     weight = np.zeros(1 << BITS, np.float32)
     weight[f] = w * r
     return ToxicityModel(weight, float(b + np.log(share[1] / share[0]) - np.log(n[1] / n[0])))

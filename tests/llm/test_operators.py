@@ -26,7 +26,7 @@ from graphloom.llm.sharding import shard_by_bytes
 from graphloom.llm.simhash import fingerprint, meeting_keys, near_duplicates, shingle_set
 from graphloom.llm.suffix_dedup import remove_repeats
 from graphloom.llm.token_counts import Unigram, token_counts
-from graphloom.llm.toxicity import score_toxicity, train_toxicity
+from graphloom.llm.toxicity import _best_size, score_toxicity, train_toxicity
 
 SF = "/root/testdata/sf0.001"
 WORDS = ["alpha", "beta", "Gamma", "delta", "été", "straße", "x", "42", "kappa", "the", "of"]
@@ -444,6 +444,18 @@ def test_language_model(spark, odd):
     assert got.score.sum() > got.base_score.sum()
 
 
+def test_feature_count_is_chosen_on_the_tried_rows():
+    rng = np.random.default_rng(5)
+    y = (np.arange(400) % 2).astype(float)
+    tried = np.arange(400) % 4 < 2
+    told = [[int(k)] if rng.random() < 0.9 else [] for k in y]  # features 0 and 1 tell the class, the other 198 are noise
+    own = [t + sorted(rng.choice(np.arange(2, 200), 40, replace=False).tolist()) for t in told]
+    row, feature = np.repeat(np.arange(400), [len(x) for x in own]), np.concatenate(own).astype(np.int64)
+    ratio = np.concatenate([[-3.0, 3.0], rng.normal(0, 2, 198)])
+    assert _best_size(row, feature, ratio, y, tried, (2, 200), 1e-3, 200) == 2
+    assert _best_size(row, feature, ratio, y, np.zeros(400, bool), (2, 200), 1e-3, 200) == 200
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(9)
     rows = [(i, sentence(rng, 40) + (" you utter moron " + sentence(rng, 9) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
