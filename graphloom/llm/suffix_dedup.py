@@ -366,7 +366,7 @@ def _apply(with_kept: bool):
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for) for every row: each byte goes that is covered by a string of `length` bytes which also starts earlier, in a smaller document or earlier in the same one.
 
-    Windows of `length` bytes are dealt by content: a segment is the run of windows that share an anchor, equal windows meet under equal anchors, and windows with an anchor of their own need nothing more. Equal segments are pre-aggregated (a copy of an earlier segment goes whole); where an anchor has several contents, the shard's suffixes are sorted by external induced sorting, and common prefixes of `length` show the windows that repeat. Shards are files, so one may be larger than memory.
+    Windows of `length` bytes are dealt by content: a segment is the run of windows that share an anchor, equal windows meet under equal anchors, and windows with an anchor of their own need nothing more. Equal segments are pre-aggregated (a copy of an earlier segment goes whole); where an anchor has several contents, the shard's suffixes are sorted by external induced sorting, and common prefixes of `length` show the windows that repeat. A shard's text, queues and runs are files; its suffix types and orders are arrays in memory, some 50 bytes a character, which shards of about 1 MB keep small.
     Anchors are chosen among runs of bytes that are not common, as far as a window has any, so that no anchor's segments are many. Segments are held equal if two 64-bit hashes, of the anchor and of the whole, agree; in the sort, bytes are compared.
     Null text: empty. Rows without an id come last. Of rows that share an id or have none, those of equal texts are one document that is repeated: none removes bytes of another at equal places, and each gets the document's result; those of different texts are documents of their own, in the order of a hash of their texts. Texts shorter than `length` keep everything. An empty table gives no rows.
     """
