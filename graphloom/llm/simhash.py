@@ -18,10 +18,12 @@ from graphloom.llm.components import components
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: Hashes of so many shingles are counted at once.
 _BLOCK = 1 << 16
-#: Up to so many fingerprints, a posting list is compared pair by pair at once; a longer one is searched as a tree first.
+#: Up to so many fingerprints, posting lists are compared pair by pair, many at once; a longer one is searched as a tree.
 _SHORT = 32
 #: Candidates of a fingerprint that a long list gives in the first round after its tree; each later round gives so many times more.
 _MORE = 64
+#: Bits of a sketch of a shingle set.
+_SKETCH = 1024
 
 
 def _shingles(text: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
@@ -40,6 +42,11 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter([xxhash.xxh64_intdigest(joined[i:j], 42) for i, j in zip(first, last, strict=True)], np.uint64, len(first)))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """For each of _SKETCH bits, whether an odd number of the set's hashes fall there. A hash that only one of two sets has changes one bit, so two sets differ in as many hashes as their sketches in bits, or more."""
+    return np.packbits(np.bincount(shingles.view(np.int64) & (_SKETCH - 1), minlength=_SKETCH) & 1 == 1).tobytes()
+
+
 def fingerprint(text: bytes, shingle: int, bits: int) -> bytes:
     """The SimHash of a text, highest byte first: XXH64 of its shingles with seed 42 for the lowest 64 bits, 43 for the next, and so on. A bit is 1 if over half the shingles, repeats included, have it. No words: zero."""
     joined, first, last = _shingles(text, shingle)
@@ -102,6 +109,29 @@ def _close(a: np.ndarray, b: np.ndarray, shared: int, radius: int) -> np.ndarray
     return out
 
 
+def _spanning(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs (i, j) of n nodes make a minimum spanning forest: in each round, every tree takes its lightest pair to another one."""
+    order = np.lexsort((j, i, weight))  # pairs by rank, so that no two weigh the same
+    i, j = i[order], j[order]
+    tree, kept, live = np.arange(n), np.zeros(len(i), bool), np.arange(len(i))
+    while len(live):
+        a, b = tree[i[live]], tree[j[live]]
+        least = np.full(n, len(i))
+        np.minimum.at(least, a, live)
+        np.minimum.at(least, b, live)
+        of = np.flatnonzero(least < len(i))
+        kept[least[of]] = True
+        to = np.arange(n)
+        to[of] = tree[i[least[of]]] + tree[j[least[of]]] - of  # the tree at the pair's other end
+        both = of[(to[to[of]] == of) & (of < to[of])]
+        to[both] = both
+        while (to[to] != to).any():
+            to = to[to]
+        tree = to[tree]
+        live = live[tree[i[live]] != tree[j[live]]]
+    return order[kept]
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """The columns of whole posting lists, in parts to be joined: lists come one after the other, and a batch may end within one."""
     kept: list[tuple] = []
@@ -124,7 +154,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def _links(shared: int, radius: int, nearest: bool):
-    """Edges (a, b) of posting lists; with `nearest` also (long), the keys of the lists of which only a forest is given."""
+    """Edges (a, b) of posting lists; with `nearest`, a forest of least distances of each list, so fewer edges than the list has fingerprints, and (long), the keys of the lists that may have other edges."""
 
     def tree(fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a spanning forest of a long posting list: each fingerprint is held against those not reached yet."""
@@ -168,13 +198,23 @@ def _links(shared: int, radius: int, nearest: bool):
             b.append(y)
         short = np.repeat(sizes <= _SHORT, sizes)
         key, fp, rep = key[short], fp[short], rep[short]
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for d in range(1, _SHORT):
             i = np.flatnonzero(key[d:] == key[:-d]) if d < len(key) else np.zeros(0, np.int64)
             if not len(i):
                 break
             i = i[_close(fp[i], fp[i + d], shared, radius)]
-            a.append(rep[i])
-            b.append(rep[i + d])
+            x.append(i)
+            y.append(i + d)
+        x, y = np.concatenate(x), np.concatenate(y)
+        if nearest and len(x):
+            taken = _spanning(x, y, np.bitwise_count(fp[x] ^ fp[y]).sum(-1, dtype=np.int64), len(key))
+            left = np.ones(len(x), bool)
+            left[taken] = False
+            long = np.concatenate([long, np.unique(key[x[left]])])
+            x, y = x[taken], y[taken]
+        a.append(rep[x])
+        b.append(rep[y])
         return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b]), long
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,19 +230,21 @@ def _links(shared: int, radius: int, nearest: bool):
     return run
 
 
-def _across(shared: int, radius: int, most: int):
-    """Candidates (a, b) of long posting lists between different components: of every fingerprint the `most` nearest; more says that a fingerprint has others. All fingerprints but the largest component's are held against those of the components after theirs."""
+def _across(shared: int, radius: int, similarity: float, most: int):
+    """Candidates (a, b) of posting lists between different components: of every fingerprint the `most` nearest; more says that a fingerprint has others. All fingerprints but the largest component's are held against those of the components after theirs. Pairs whose sketches differ in more bits than sets of that similarity can are none: sets of n and m hashes differ in (n + m)(1 - similarity)/(1 + similarity) at the most."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
 
-    def one(fp: np.ndarray, rep: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def one(fp: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, which, count = np.unique(comp, return_inverse=True, return_counts=True)
         order = np.lexsort((rep, which, count[which]))
-        fp, rep, which = fp[order], rep[order], which[order]
+        fp, rep, which, n = fp[order], rep[order], which[order], n[order]
+        bits = np.frombuffer(b"".join(bits[order]), np.uint64).reshape(len(n), -1)
         ends = np.append(np.flatnonzero(which[1:] != which[:-1]) + 1, len(which))
         a, b, more, held = [], [], False, 0
         for i in range(int(ends[-2]) if len(ends) > 1 else 0):
             later = int(ends[np.searchsorted(ends, i, "right")])
             hit = later + np.flatnonzero(_close(fp[later:], fp[i], shared, radius))
+            hit = hit[np.bitwise_count(bits[hit] ^ bits[i]).sum(-1, dtype=np.int64) * (1 + similarity) <= (n[hit] + n[i]) * (1 - similarity) + 1e-6]
             if len(hit) > most:
                 more = True
                 hit = hit[np.argsort(np.bitwise_count(fp[hit] ^ fp[i]).sum(-1, dtype=np.int64), kind="stable")[:most]]
@@ -220,10 +262,10 @@ def _across(shared: int, radius: int, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _lists(batches):
-            key, fp, rep, comp = (np.concatenate(x) for x in zip(*rows, strict=True))
+            key, *columns = (np.concatenate(x) for x in zip(*rows, strict=True))
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
             for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
-                yield from one(fp[s:e], rep[s:e], comp[s:e])
+                yield from one(*(c[s:e] for c in columns))
 
     return run
 
@@ -258,18 +300,31 @@ def _similar(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     return pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
 
-def _joined(first: DataFrame, index: DataFrame, rule: tuple[int, int], parts: int, verified) -> DataFrame:
-    """Components over the candidates that `verified` passes. first: what _links gives of the index; rule: shared bytes and radius.
+def _sketched(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """rest with (n, sketch) beside each rep: how many shingles its text has, and their sketch. Each text is hashed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            yield arrow_rows(schema, rep=b.column(0), n=[len(s) for s in sets], sketch=[sketch(s) for s in sets])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_or_empty(text_col).cast("binary").alias("t")).join(rest.select("rep").distinct(), "rep")
+    return rest.join(materialise(texts.mapInArrow(run, "rep long, n long, sketch binary").distinct()), "rep")
+
+
+def _joined(first: DataFrame, index: DataFrame, rule: tuple[int, int, float], parts: int, verified, sketched) -> DataFrame:
+    """Components over the candidates that `verified` passes. first: what _links gives of the index; rule: shared bytes, radius and similarity; sketched: sets beside an index's rows the sketches of their texts.
 
-    A long list's forest is only where the search begins, for a link may be missing from it: rounds follow over the long lists, of candidates between what are different components so far and were not looked at, until there are none. So every candidate is verified or lies within a component."""
+    A list's forest is only where the search begins, for a link may be missing from it: rounds follow over the lists that have more than their forest, of candidates between what are different components so far and were not looked at, until there are none. So every candidate is verified, lies within a component, or differs in its sketches by more than the similarity allows."""
     tried = materialise(_ordered(first.where("long is null")))
     linked = materialise(verified(tried))
     found = components(linked)
     long = materialise(first.where("long is not null").select(F.col("long").alias("posting")))
     most = _MORE
-    rest = materialise(index.join(long, "posting", "left_semi")) if long.limit(1).count() else None
+    rest = materialise(sketched(materialise(index.join(long, "posting", "left_semi")))) if long.limit(1).count() else None
     while rest is not None:
-        named = rest.join(found, F.col("rep") == F.col("node"), "left").select("posting", "fp", "rep", F.coalesce("component", "rep").alias("comp"))
+        named = rest.join(found, F.col("rep") == F.col("node"), "left").select("posting", "fp", "rep", F.coalesce("component", "rep").alias("comp"), "n", "sketch")
         given = materialise(named.repartition(parts, "posting").sortWithinPartitions("posting", "rep").mapInArrow(_across(*rule, most), "a long, b long, more boolean"))
         fresh = materialise(_ordered(given.where("a is not null")).join(tried, ["a", "b"], "left_anti"))
         if fresh.limit(1).count():
@@ -285,7 +340,7 @@ def _joined(first: DataFrame, index: DataFrame, rule: tuple[int, int], parts: in
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 64, radius: int = 3, shared: int | None = None, width: int = 3, similarity: float | None = None) -> DataFrame:
     """(id, text_hash, fp, component) for every row: rows link when their fingerprints differ in at most `radius` bits, and, if `similarity` is given, their shingle sets have that Jaccard similarity or more. component is the least id that a row reaches by links.
 
-    Equal fingerprints are one class before any pair is looked at, so copies cost nothing. Classes are indexed under `width` positional bytes; `shared` is how many equal positional bytes a linked pair is taken to have: bits/8 - radius at the least, for which the index misses none. Each posting list tallies shared bytes, drops pairs with fewer than are sure (`width`, or bits/8 - radius), and verifies the bits. A long list gives a spanning forest; if a similarity is to be verified, one of least distances, and then all its candidates that no verified links join.
+    Equal fingerprints are one class before any pair is looked at, so copies cost nothing. Classes are indexed under `width` positional bytes; `shared` is how many equal positional bytes a linked pair is taken to have: bits/8 - radius at the least, for which the index misses none. Each posting list tallies shared bytes, drops pairs with fewer than are sure (`width`, or bits/8 - radius), and verifies the bits. A long list gives a spanning forest; if a similarity is to be verified, every list one of least distances, and then all its candidates that no verified links join.
     Null and empty texts have fingerprint zero and link like any other; rows that share an id keep one row each; rows without an id link only as copies of one that has one; an empty table gives an empty result.
     """
     sure = bits // 8 - radius
@@ -297,6 +352,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if similarity is None:
         found = components(edges.select("a", "b"))
     else:
-        found = _joined(materialise(edges), index, rule, parts, lambda pairs: _similar(pairs, docs, id_col, text_col, shingle, similarity))
+        found = _joined(materialise(edges), index, (*rule, similarity), parts, lambda pairs: _similar(pairs, docs, id_col, text_col, shingle, similarity), lambda rest: _sketched(rest, docs, id_col, text_col, shingle))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return prints.join(named, "fp").select("id", "text_hash", "fp", "component")

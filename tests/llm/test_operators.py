@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from graphloom.llm.line_dedup import drop_recurring_lines
 from graphloom.llm.lm_score import score_texts
 from graphloom.llm.packing import Mixture, pack
 from graphloom.llm.sharding import shard_by_bytes
-from graphloom.llm.simhash import fingerprint, meeting_keys, near_duplicates, shingle_set
+from graphloom.llm.simhash import _across, _links, fingerprint, meeting_keys, near_duplicates, shingle_set, sketch
 from graphloom.llm.suffix_dedup import remove_repeats
 from graphloom.llm.token_counts import Unigram, token_counts
 from graphloom.llm.toxicity import _best_size, score_toxicity, train_toxicity
@@ -110,6 +111,31 @@ def test_similar_texts_share_a_component_and_others_do_not(spark, odd):
     assert got[0] == got[1] == 0 and got[2] == got[3] == 2
 
 
+def test_posting_lists_give_no_squares_of_pairs():
+    """A list of any length gives a forest of least distances, and a family that is alike but not similar enough no candidates."""
+    rng = np.random.default_rng(8)
+    for n in (3, 32, 90):
+        fp = np.zeros((n, 24), np.uint8)
+        fp[:, 23] = rng.permutation(256)[:n]
+        rep = np.arange(n)
+        batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array([x.tobytes() for x in fp]), pa.array(rep)], ["posting", "fp", "rep"])
+        edges = [r for b in _links(2, 48, True)(iter([batch])) for r in b.to_pylist()]
+        pairs = [(r["a"], r["b"]) for r in edges if r["long"] is None]
+        assert len(pairs) == n - 1 and [r["long"] for r in edges if r["long"] is not None] == [0]
+        root = list(range(n))
+        total = 0
+        for d, i, j in sorted(((int(fp[i, 23]) ^ int(fp[j, 23])).bit_count(), i, j) for i in range(n) for j in range(i)):
+            if root[i] != root[j]:
+                total, root = total + d, [root[i] if r == root[j] else r for r in root]
+        assert sum((int(fp[i, 23]) ^ int(fp[j, 23])).bit_count() for i, j in pairs) == total
+        base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[40:], rng.integers(0, 1 << 62, 40).astype(np.uint64)])) for _ in range(n)]
+        sets[1] = np.unique(np.append(sets[0][5:], base[:5]))
+        columns = [pa.array(rep), pa.array([len(x) for x in sets]), pa.array([sketch(x) for x in sets])]
+        asked = pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "comp", "n", "sketch"])
+        assert [(r["a"], r["b"]) for b in _across(2, 48, 0.8, 64)(iter([asked])) for r in b.to_pylist()] == [(0, 1)]
+
+
 def test_every_candidate_of_a_long_list_is_verified(spark):
     """A family of one base, most pairs of which are near by their bits but not similar enough, and pairs that are, at no less distance: what is linked is what brute force over the candidates links."""
     rng = np.random.default_rng(3)
