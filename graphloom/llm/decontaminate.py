@@ -22,33 +22,31 @@ def _tokens(text: Column) -> Column:
     """Words and numbers in lower case; a number keeps its separators, a run of capitalised words inside a sentence is one name, and each of its words begins with ~."""
     marked = F.regexp_replace(text, r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", "~")
     named = F.regexp_replace(marked, r" (?=~)(?<=~[\p{L}\p{M}]{1,40} )", "")
-    return F.filter(F.split(F.lower(named), rf"[^\p{{L}}\p{{M}}\p{{N}}~{_POINT}]+|(?<![0-9])[{_POINT}]|[{_POINT}](?![0-9])"), lambda t: t != "")
+    word = r"[a-z0-9~\p{L}\p{M}\p{N}]++"
+    return F.regexp_extract_all(F.lower(named), F.lit(rf"{word}(?:(?<=[0-9])[{_POINT}](?=[0-9]){word})*+"), F.lit(0))
 
 
-def _template(tokens: Column) -> Column:
-    """Numbers become #, names ~, units after a number %."""
-    digit = lambda t: t.substr(1, 1).between("0", "9")
+def _template(tokens: Column, then=lambda t: t) -> Column:
+    """then(template token) of each token: numbers become #, names ~, units after a number %."""
+    digit = lambda t: (t >= "0") & (t < ":")  # noqa: E731  its first character
 
     def one(t: Column, i: Column) -> Column:
-        after_number = (i > 0) & digit(F.coalesce(F.get(tokens, i - 1), F.lit("")))
-        return F.when(t.substr(1, 1) == "~", "~").when(digit(t), "#").when(after_number & t.isin(UNITS), "%").otherwise(t)
+        unit = t.isin(UNITS) & digit(F.coalesce(F.get(tokens, i - 1), F.lit("")))
+        return then(F.when(digit(t), "#").when(t.startswith("~"), "~").when(unit, "%").otherwise(t))
 
     return F.transform(tokens, one)
 
 
-def _windows(tokens: Column, widths: list[int]) -> Column:
-    """(place, width, hash) of the windows of the tokens' template at every token, of each of the widths. A window's hash is made of its tokens' hashes, each taken once."""
+def _windows(rows: DataFrame, tokens: Column, widths: list[int]) -> DataFrame:
+    """rows' columns with (place, width, h): the windows of the tokens' template at every token, of each of the widths. A window's hash is made of its tokens' hashes, each taken once."""
+    ahead = [f"__{k}" for k in range(max(widths))]
 
     def places(hashes: Column) -> Column:
-        def one(_: Column, i: Column) -> Column:
-            at = [F.get(hashes, i + k) for k in range(max(widths))]
-            return F.array(*[F.struct((i + 1).alias("place"), F.lit(w).alias("width"), F.xxhash64(*at[:w]).alias("h")) for w in widths])
+        return F.transform(hashes, lambda h, i: F.struct((i + 1).alias("place"), *[(F.get(hashes, i + k) if k else h).alias(name) for k, name in enumerate(ahead)]))
 
-        found = F.flatten(F.transform(hashes, one))
-        return F.filter(found, lambda x: x["place"] + x["width"] <= F.size(hashes) + 1)
-
-    hashed = lambda m: F.transform(m, lambda t: F.xxhash64(t))
-    return let(tokens, lambda t: let(hashed(_template(t)), places))
+    at = rows.select(*rows.columns, F.inline(let(tokens, lambda t: let(_template(t, F.xxhash64), places))).alias("place", *ahead))
+    each = [F.struct(F.lit(w).alias("width"), F.when(F.col(ahead[w - 1]).isNotNull(), F.xxhash64(*ahead[:w])).alias("h")) for w in widths]
+    return at.select(*rows.columns, "place", F.inline(F.array(*each))).where("h is not null")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8, enough: int = 13, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -69,9 +67,9 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, share: float
     # So many windows are whole wherever the tokens fall that need not agree.
     items = items.withColumn("least", size - F.col("width") + 1 - F.col("width") * (size - F.least(F.lit(enough), agreeing)))
     widths = [r["width"] for r in items.select("width").distinct().orderBy("width").collect()] or [width]
-    known = items.select("item_id", "form", "least", F.col("width").alias("own"), F.inline(_windows(F.col("it"), widths))).where("width = own").select("item_id", "form", "least", F.col("place").alias("item_place"), "h")
+    known = _windows(items.select("item_id", "form", "least", F.col("width").alias("own"), "it"), F.col("it"), widths).where("width = own").select("item_id", "form", "least", F.col("place").alias("item_place"), "h")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where("doc_id is not null")
-    seen = texts.select("doc_id", F.inline(_windows(_tokens(F.col("text")), widths))).select("doc_id", F.col("place").alias("doc_place"), "h")
+    seen = _windows(texts, _tokens(F.col("text")), widths).select("doc_id", F.col("place").alias("doc_place"), "h")
     met = seen.join(known, "h").groupBy("doc_id", "item_id", "form", "least", (F.col("doc_place") - F.col("item_place")).alias("shift")).agg(F.count("*").alias("windows")).where("windows >= least").drop("least")
     laid = met.join(texts, "doc_id").join(items, ["item_id", "form"])
     # What lies where the item is said to lie: the document's tokens and template tokens there, null beyond its ends.
