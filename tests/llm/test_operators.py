@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from graphloom.llm import queries as corpus
 from graphloom.llm.components import components
-from graphloom.llm.decontaminate import contaminated
+from graphloom.llm.decontaminate import _template, _tokens, _windows, contaminated
 from graphloom.llm.embed_dedup import Graph, audit_pairs, similar_vectors
 from graphloom.llm.induced_sort import suffixes_descending
 from graphloom.llm.line_dedup import drop_recurring_lines
@@ -396,6 +396,22 @@ def test_decontamination(spark):
     assert contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items.limit(0)).count() == 0
 
 
+def test_windows_of_tokens(spark):
+    """Tokens and windows against plain Python, the last ones of each width and texts that are too short included."""
+    texts = ["He ran 3.5 km, saw x.5 and .5 of 1,000.25 5 kg. ..5..6 1.2.3,4", "Met Bob Dole of Rome 5. 6", "one", "", "..."]
+    want_tokens = [["he", "ran", "3.5", "km", "saw", "x", "5", "and", "5", "of", "1,000.25", "5", "kg", "5", "6", "1.2.3,4"], ["met", "~bob~dole", "of", "~rome", "5", "6"], ["one"], [], []]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: (r.t, r.m, r.h) for r in df.select("id", _tokens(F.col("text")).alias("t")).select("id", "t", _template(F.col("t")).alias("m"), _template(F.col("t"), F.xxhash64).alias("h")).collect()}
+    assert [got[i][0] for i in range(len(texts))] == want_tokens
+    assert got[0][1] == ["he", "ran", "#", "%", "saw", "x", "#", "and", "#", "of", "#", "#", "%", "#", "#", "#"] and got[1][1] == ["met", "~", "of", "~", "#", "#"]
+    rows = Counter((r.id, r.place, r.width) for r in _windows(df, _tokens(F.col("text")), [2, 4]).collect())
+    assert rows == Counter((i, p + 1, w) for i, t in enumerate(want_tokens) for w in (2, 4) for p in range(len(t) - w + 1))
+    hashes = {(r.place, r.width): r.h for r in _windows(df.where("id = 0"), _tokens(F.col("text")), [2, 4]).collect()}
+    h = got[0][2]
+    plain = spark.createDataFrame([tuple(h[k : k + 4]) for k in range(len(h) - 3)], "a long, b long, c long, d long").select(F.xxhash64("a", "b").alias("two"), F.xxhash64("a", "b", "c", "d").alias("four")).collect()
+    assert all(hashes[k + 1, 2] == r.two and hashes[k + 1, 4] == r.four for k, r in enumerate(plain))
+
+
 def test_decontamination_wherever_the_edits_fall(spark):
     """An item of the shortest length with three words changed is found in any place and with any words changed; a shorter item beside it changes nothing."""
     words = "seven lazy foxes cross this frozen river while nobody watches from any dark window tonight".split()
