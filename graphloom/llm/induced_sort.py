@@ -133,15 +133,37 @@ def _slots(text: np.ndarray, sign: int) -> np.ndarray:
     return np.flatnonzero(start) if sign > 0 else np.flatnonzero(start) - (top - 1)
 
 
+def _run_places(text: np.ndarray) -> np.ndarray:
+    """How many characters directly before each position equal its own."""
+    at = np.arange(len(text), dtype=np.int32)
+    return at - np.maximum.accumulate(np.where(np.concatenate([[True], text[1:] != text[:-1]]), at, 0))
+
+
+def _marked(rows: np.ndarray, induced: int, left: np.ndarray | None = None) -> np.ndarray:
+    """Tuples with whether they are induced and a step of 0; with `left`, each is followed by those of its run, steps away."""
+    if left is None:
+        out = np.zeros((len(rows), 5), np.int64)
+        out[:, :3], out[:, 3] = rows, induced
+        return out
+    many = left[rows[:, 1]].astype(np.int64) + 1
+    out = np.empty((int(many.sum()), 5), np.int64)
+    out[:, :3], out[:, 3] = np.repeat(rows, many, 0), induced
+    out[:, 4] = np.arange(len(out)) - np.repeat(np.cumsum(many) - many, many)
+    out[:, 1] -= out[:, 4]
+    return out
+
+
 def _scan(text: np.ndarray, is_s: np.ndarray, first: Iterator[np.ndarray], sign: int, folder: str, name: str, emit: Callable[[np.ndarray], None], mode: str, seam: int = 0) -> None:
-    """One induction scan. first: sorted seed tuples (key, position, prefix), keys ascending in `sign` order. sign 1: seeds are LMS suffixes, L suffixes are induced in ascending order; sign -1: seeds are L suffixes, S suffixes are induced in descending order. emit gets the induced and the seed tuples of each batch in order (a fourth column tells 1 for induced). mode: what the third column carries: "prefix", the common prefix with the tuple before (between the two kinds it is read off the text, up to `seam`); "class", a number that is equal for tuples induced alike; "order", nothing."""
+    """One induction scan. first: sorted seed tuples (key, position, prefix), keys ascending in `sign` order. sign 1: seeds are LMS suffixes, L suffixes are induced in ascending order; sign -1: seeds are L suffixes, S suffixes are induced in descending order. emit gets the induced and the seed tuples of each batch in order (a fourth column tells 1 for induced, a fifth is used here). mode: what the third column carries: "prefix", the common prefix with the tuple before (between the two kinds it is read off the text, up to `seam`); "class", a number that is equal for tuples induced alike; "order", nothing."""
     bounds = _slots(text, sign)
     queue, seeds = TupleQueue(folder, f"{name}.q", bounds), TupleQueue(folder, f"{name}.s", bounds)
     for rows in first:
         seeds.push(rows)
     between = _Between()
+    # A tuple induces those of its whole run of equal characters, one after the other. In slots with several keys they are made at once, each with its step from the tuple; prefixes are carried step by step instead.
+    left = None if mode == "prefix" else _run_places(text)
 
-    state = {"at": 0, "kind": 0, "class": 0, "last": (None, None, None)}
+    state = {"at": 0, "kind": 0, "class": 0, "last": (None, None, None, None)}
 
     def process(rows: np.ndarray, mixed: bool) -> int:
         """Emit rows and push what they induce; mixed: of several keys, stop before the first row that must come after something pushed here. Returns how many rows were done."""
@@ -151,13 +173,16 @@ def _scan(text: np.ndarray, is_s: np.ndarray, first: Iterator[np.ndarray], sign:
         ok[ok] = (text[prev[ok]] > 0) & (is_s[prev[ok]] == (sign < 0))
         at = np.flatnonzero(ok)
         key = sign * text[prev[at]].astype(np.int64)
+        if mixed and left is not None:
+            on = key != rows[at, 0]
+            at, key = at[on], key[on]
         n = len(rows)
         if mixed and len(at):
-            # A row waits if an earlier one pushed a key below its own, or its own key and it is a seed.
+            # A row waits if an earlier one pushed a key below its own, or its own key and it is a seed or some steps into a run.
             wait = np.full(n, np.iinfo(np.int64).max)
             wait[at] = key
             wait = np.concatenate([[np.iinfo(np.int64).max], np.minimum.accumulate(wait)[:-1]])
-            late = (rows[:, 0] > wait) | ((rows[:, 0] == wait) & (rows[:, 3] == 0))
+            late = (rows[:, 0] > wait) | ((rows[:, 0] == wait) & ((rows[:, 3] == 0) | (rows[:, 4] > 0)))
             n = int(late.argmax()) if late.any() else n
             cut = np.searchsorted(at, n)
             at, key = at[:cut], key[:cut]
@@ -174,9 +199,9 @@ def _scan(text: np.ndarray, is_s: np.ndarray, first: Iterator[np.ndarray], sign:
             carried = np.minimum(between.block(rows[:, 2], at, key) + 1, CAP)
         elif mode == "class":
             new = np.empty(n, bool)
-            new[0] = state["last"] != (rows[0, 0], rows[0, 2], rows[0, 3])
-            new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2] != rows[:-1, 2]) | (rows[1:, 3] != rows[:-1, 3])
-            state["last"] = (rows[-1, 0], rows[-1, 2], rows[-1, 3])
+            new[0] = state["last"] != (rows[0, 0], rows[0, 2], rows[0, 3], rows[0, 4])
+            new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2:] != rows[:-1, 2:]).any(1)
+            state["last"] = (rows[-1, 0], rows[-1, 2], rows[-1, 3], rows[-1, 4])
             rows[:, 2] = state["class"] + np.cumsum(new)
             state["class"] = int(rows[-1, 2])
             carried = rows[at, 2]
@@ -199,20 +224,20 @@ def _scan(text: np.ndarray, is_s: np.ndarray, first: Iterator[np.ndarray], sign:
                     again = True
                     for k in range(0, len(block), BLOCK):
                         part = block[k : k + BLOCK]
-                        process(np.column_stack([part, np.ones(len(part), np.int64)]), False)
+                        process(_marked(part, 1), False)
             for block in seeds.take(s):
                 for k in range(0, len(block), BLOCK):
                     part = block[k : k + BLOCK]
-                    process(np.column_stack([part, np.zeros(len(part), np.int64)]), False)
+                    process(_marked(part, 0), False)
             continue
-        rest = [np.column_stack([x, np.zeros(len(x), np.int64)]) for x in seeds.take(s)]
-        rest = np.concatenate(rest) if rest else np.zeros((0, 4), np.int64)
+        rest = [_marked(x, 0) for x in seeds.take(s)]
+        rest = np.concatenate(rest) if rest else np.zeros((0, 5), np.int64)
         size = 1024
         while True:
-            new = [np.column_stack([x, np.ones(len(x), np.int64)]) for x in queue.take(s)]
+            new = [_marked(x, 1, left) for x in queue.take(s)]
             if new:
                 rest = np.concatenate([rest, *new])
-                rest = rest[np.lexsort((1 - rest[:, 3], rest[:, 0]))]
+                rest = rest[np.argsort((2 * rest[:, 0] + 1 - rest[:, 3] << 31) + rest[:, 4], kind="stable")]
             if not len(rest):
                 break
             done = process(rest[:size], True)
@@ -350,6 +375,7 @@ def suffixes_descending(text: np.ndarray, on: Callable[[np.ndarray, np.ndarray],
     own = folder is None
     folder = folder or tempfile.mkdtemp(prefix="induced-")
     try:
+        text = np.asarray(text)
         seeds = sort_suffixes(text, folder)
         is_s = _types(text)
 

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from graphloom.llm import induced_sort
 from graphloom.llm import queries as corpus
 from graphloom.llm.components import components
 from graphloom.llm.decontaminate import _template, _tokens, _windows, contaminated
@@ -180,6 +181,22 @@ def test_induced_sort_equals_sorting():
             assert pre[k] == n
 
 
+@pytest.mark.parametrize("memory", [100, 1 << 21])
+def test_a_run_of_equal_names_is_induced_at_once(monkeypatch, memory):
+    """Repeated words give runs of equal names: a slot's queue is not asked once for each name of each run. With little memory its tuples go by the files."""
+    rng = np.random.default_rng(4)
+    text = np.concatenate([np.append(np.tile(rng.integers(1, 200, 6), 15), 0) for _ in range(200)]).astype(np.uint16)
+    ends = np.flatnonzero(text == 0)
+    end = {i: ends[np.searchsorted(ends, i)] for i in np.flatnonzero(text).tolist()}
+    pushes, pos = [], []
+    push = induced_sort.TupleQueue.push
+    monkeypatch.setattr(induced_sort, "MEMORY", memory)
+    monkeypatch.setattr(induced_sort.TupleQueue, "push", lambda self, rows: (pushes.append(len(rows)), push(self, rows)))
+    suffixes_descending(text, lambda p, v: pos.extend(p.tolist()), 100)
+    assert pos[::-1] == sorted(end, key=lambda i: (*text[i : end[i]].tolist(), 0, end[i]))
+    assert len(pushes) < 1000
+
+
 def brute_repeats(docs, tie):
     """Rows of one id and text are one document; tie: of different texts under one id, or none, which comes first."""
     rows = [(r.doc_id if r.doc_id is not None else 1 << 62, (r.text or "").encode(), r.doc_id) for r in docs]
