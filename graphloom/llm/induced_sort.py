@@ -37,14 +37,16 @@ class TupleQueue:
 
     def push(self, rows: np.ndarray) -> None:
         """rows: columns key, position, prefix."""
-        slot = np.searchsorted(self.bounds, rows[:, 0], "right") - 1
-        order = np.argsort(slot, kind="stable")
-        slot = slot[order]
-        cuts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else []
-        for a, b in zip(cuts, np.append(cuts[1:], len(slot)), strict=True) if len(slot) else []:
-            s = int(slot[a])
-            self.held[s].append(rows[order[a:b]])
-            self.count[s] += b - a
+        if not len(rows):
+            return
+        slot = self.bounds.searchsorted(rows[:, 0], "right") - 1
+        order = slot.argsort(kind="stable")
+        rows, slot = rows.take(order, 0), slot[order]
+        cuts = [0, *((slot[1:] != slot[:-1]).nonzero()[0] + 1).tolist(), len(slot)]
+        slots = slot[cuts[:-1]]
+        for s, a, b in zip(slots.tolist(), cuts[:-1], cuts[1:], strict=True):
+            self.held[s].append(rows[a:b].copy())  # not a view: it would keep all rows
+        self.count[slots] += np.diff(cuts)
         self.total += len(rows)
         if self.total > MEMORY:
             for s in np.flatnonzero(self.count).tolist():
@@ -200,7 +202,7 @@ def _scan(text: np.ndarray, is_s: np.ndarray, first: Iterator[np.ndarray], sign:
         elif mode == "class":
             new = np.empty(n, bool)
             new[0] = state["last"] != (rows[0, 0], rows[0, 2], rows[0, 3], rows[0, 4])
-            new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2:] != rows[:-1, 2:]).any(1)
+            new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2] != rows[:-1, 2]) | (rows[1:, 3] != rows[:-1, 3]) | (rows[1:, 4] != rows[:-1, 4])
             state["last"] = (rows[-1, 0], rows[-1, 2], rows[-1, 3], rows[-1, 4])
             rows[:, 2] = state["class"] + np.cumsum(new)
             state["class"] = int(rows[-1, 2])
@@ -241,7 +243,7 @@ def _scan(text: np.ndarray, is_s: np.ndarray, first: Iterator[np.ndarray], sign:
             if not len(rest):
                 break
             done = process(rest[:size], True)
-            size = min(BLOCK, size * 2) if done == size else max(64, 2 * done)
+            size = min(BLOCK, max(512, 4 * done))
             rest = rest[done:]
 
 
